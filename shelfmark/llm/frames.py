@@ -46,3 +46,12 @@ def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > 2 * TEXT_ROWS or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(2 * TEXT_ROWS))
+
+
+#: Rows of ids that may be broadcast: some megabytes.
+BROADCAST_ROWS = 500_000
+
+
+def if_small(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint for a stored table of ids of checked size; beyond it Spark joins by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= rows else ids

@@ -16,16 +16,16 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.frames import map_arrow, small_batches, two_columns
+from shelfmark.llm.frames import small_batches, two_columns
 from shelfmark.llm.words import WordIndex, split_words
 
 #: Labelled rows that the model is fitted on, for each language; words and n-grams of each length that it keeps for each.
@@ -146,15 +146,21 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     return Model(langs, tables[0], tables)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of every row."""
-    spark = docs.sparkSession
+def predictor(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A function from a text column to a struct of lang_pred and score; the model is broadcast."""
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+
+    @F.arrow_udf(schema)
+    def predict(texts: pa.Array) -> pa.Array:
+        lang, score = shared.value.predict(texts.to_pylist())
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lang, score = shared.value.predict(batch.column(1).to_pylist())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [id_col, "lang_pred", "score"])
+    return predict
 
-    return map_arrow(two_columns(docs, id_col, text_col), each, schema)
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score) of every row."""
+    found = predictor(docs.sparkSession, model)(F.col("text"))
+    return two_columns(docs, id_col, text_col).select(F.col("id").alias(id_col), found.alias("found")).select(id_col, "found.lang_pred", "found.score")

@@ -15,11 +15,12 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,14 +160,18 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     return Model(project, unit(a @ project), found["label"].to_numpy(np.float64))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row; the model is read from a broadcast variable of bounded size."""
-    spark = docs.sparkSession
+def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A function from a text column to its score; the model, of bounded size, is broadcast."""
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(batch.column(1).to_pylist()).astype(np.float64))], [id_col, "score"])
+    @F.arrow_udf(T.DoubleType())
+    def predict(texts: pa.Array) -> pa.Array:
+        return pa.array(shared.value.score(texts.to_pylist()).astype(np.float64))
+
+    return predict
 
-    return map_arrow(two_columns(docs, id_col, text_col), each, schema)
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score) of every row."""
+    return two_columns(docs, id_col, text_col).select(F.col("id").alias(id_col), scorer(docs.sparkSession, model)(F.col("text")).alias("score"))
