@@ -98,8 +98,9 @@ class Model:
 def sample(rows: DataFrame, group: Column, most: int) -> DataFrame:
     """About `most` rows of each group, drawn by a hash of the id: all of a group that has no more."""
     hashed = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1_000_000_000))
+    # One row for each language or label: small, and the rows with their texts stay where they are.
     sizes = rows.groupBy(group.alias("group")).agg(F.count("*").alias("in_group"))
-    return rows.withColumn("group", group).join(sizes, "group").filter(hashed * F.col("in_group") <= F.lit(most * 1_000_000_000))
+    return rows.withColumn("group", group).join(F.broadcast(sizes), "group").filter(hashed * F.col("in_group") <= F.lit(most * 1_000_000_000))
 
 
 def counts(labelled: DataFrame) -> DataFrame:
