@@ -38,6 +38,9 @@ EXCLUDED_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disqus", "disclaimer", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pagination",
     "pager", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "tags", "toolbar", "topbar", "widget",
 }
+# How names of such elements start, and words that only say what stands beside.
+EXCLUDED_STARTS = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "promo", "sidebar", "sponsor", "subscri")
+BESIDE = {"has", "with", "no", "without"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 CONTENT = {"article", "main"}
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、]")
@@ -79,9 +82,11 @@ def says_excluded(tag: str, attributes: str, inside_content: bool) -> bool:
         if name == "role" and value.lower() in EXCLUDED_ROLES:
             return True
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            words = {w.lower() for w in WORD.findall(value)}
-            if words & EXCLUDED_WORDS and not (inside_content and words & EXCLUDED_WORDS <= {"header"}):
-                return True
+            for token in value.split():
+                words = [w.lower() for w in WORD.findall(token)]
+                said = {w for w in words if w in EXCLUDED_WORDS or w.startswith(EXCLUDED_STARTS)}
+                if said and words[0] not in BESIDE and not (inside_content and said <= {"header", "tags"}):
+                    return True
     return False
 
 
@@ -186,7 +191,8 @@ def main_text(html: str) -> str:
     # Where the page names its article, only that is asked.
     if sum(len(b.text) for b in within):
         blocks = within
-    blocks = [b for b in blocks if b.linked <= LINKS * len(b.text)]
+    # Inside an article only lists of links are dropped for being links.
+    blocks = [b for b in blocks if b.linked <= LINKS * len(b.text) or (b.content and not b.path.endswith("/li"))]
     if not blocks:
         return ""
     names, path = np.unique([b.path for b in blocks], return_inverse=True)
