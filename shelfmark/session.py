@@ -49,18 +49,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, under one folder for each application."""
-    return f"{shared_dir(spark)}/shelfmark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, under one folder for each application that goes when the application ends."""
+    own = f"{shared_dir(spark)}/shelfmark-{spark.sparkContext.applicationId}"
+    if own not in _SCRATCH:
+        _SCRATCH.add(own)
+        atexit.register(_remove, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute now and cut the lineage, by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_SCRATCH: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder by Hadoop's own file system, if the application still runs."""
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write as Parquet in the shared folder and read back: compressed, and columns stay prunable."""
+    """Compute now, write as Parquet in the shared folder and read back.
+
+    This cuts the lineage, survives lost executors, and leaves behind what a checkpoint would carry along: constraints
+    that grow from round to round of an iteration. Columns stay prunable and sizes known.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """stored() for the small tables of an iteration."""
+    return stored(df, "cut")
