@@ -32,3 +32,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         if not changed:
             return labels
     raise RuntimeError(f"components not settled after {MOST_ROUNDS} rounds")
+
+
+def merge_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) of known components with further links: only the new links, between components, are worked on.
+
+    labels is of connected_components; edges has src and dst.
+    """
+    known = labels.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    between = edges.select("src", "dst")
+    for end in ("src", "dst"):
+        between = between.join(known, F.col(end) == F.col("_node"), "left").withColumn(end, F.coalesce("_component", end)).drop("_node", "_component")
+    moved = connected_components(between)
+    fresh = moved.select("node", F.col("node").alias("component")).join(known, F.col("node") == F.col("_node"), "left_anti")
+    above = moved.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    all_nodes = labels.select("node", "component").unionByName(fresh)
+    return cut(all_nodes.join(above, F.col("component") == F.col("_node"), "left").select("node", F.coalesce("_component", "component").alias("component")))

@@ -39,6 +39,15 @@ def test_components(spark):
     assert graph.connected_components(spark.createDataFrame([], "src int, dst int")).count() == 0
 
 
+def test_merged_components(spark):
+    of = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    first, more = [(1, 2), (3, 4), (10, 11)], [(4, 9), (2, 9), (20, 21), (11, 30), (0, 30)]
+    got = graph.merge_components(graph.connected_components(of(first)), of(more)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, graph.connected_components(of(first + more)).collect()))
+    assert graph.merge_components(graph.connected_components(of(first)), of([])).count() == 6
+    assert graph.merge_components(graph.connected_components(of([])), of(first)).count() == 6
+
+
 def test_tiles_give_all_pairs(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id AS id", "CAST(vec_id % 3 AS STRING) AS source", "CAST(label AS STRING) AS bucket", "embedding")
     pairs = lambda tile: {(r.id_a, r.id_b) for r in similarity.blocked_pairs(rows, 0.25, tile).collect()}
