@@ -6,9 +6,10 @@ equal sets form a class, and only one row for each class goes on, so groups of c
 TREES independent trees branch the classes recursively: at each level a class goes to the child of its minwise shingle under
 that level's hash function, so classes of similarity s stay together with probability s at each level, and
 `1 - (1 - s**depth)**TREES` is the chance that some tree compares them. A node of at most SMALL classes is compared
-exhaustively; a larger one is first linked to two leaders and then branched further. Nodes whose classes are in one component
-already hold nothing new and end there: this, and not any cap, keeps large groups of near copies linear. What is
-still in large nodes after DEPTH levels is compared exhaustively as well. A signature of the minwise values drops pairs whose
+exhaustively. Of a larger one, in which all but SMALL classes are in one component already, those few are compared with all;
+any other is linked to two leaders and then branched further. Nodes whose classes are in one component hold nothing new and
+end there: this, and not any cap, keeps large groups of near copies linear. What is still in such nodes after DEPTH
+levels is compared exhaustively as well. A signature of the minwise values drops pairs whose
 estimate lies over six standard deviations below the threshold; all other candidates are confirmed on full shingle sets.
 
 Defined results: null text, empty text and text of white space have an empty set, are linked with nothing and are their
@@ -30,14 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.llm.frames import TEXT_ROWS, map_arrow, sliced, small_batches
-from shelfmark.operators.graph import connected_components
+from shelfmark.operators.graph import connected_components, merge_components
 from shelfmark.session import cut, stored
 
 WORDS = 5
 TREES, LEVELS = 16, 4
 HASHES = TREES * LEVELS
 SMALL = 24
-DEPTH = 12
+#: Levels in all, and from one comparison to the next.
+DEPTH, STRIDE = 12, 2
 #: Minwise values of HASHES that must agree; below 0.85 by over six standard deviations.
 AGREE = 36
 #: A table of ids of at most so many rows may be broadcast; more are joined by a shuffle.
@@ -120,11 +122,11 @@ def tree_rows(classes: DataFrame, trees: range) -> DataFrame:
     return classes.select("cid", "comp", at).select("at.tree", "at.node", "cid", "comp")
 
 
-def child_rows(rows: DataFrame, classes: DataFrame, labels: DataFrame, level: int) -> DataFrame:
-    """The same rows one level further, by the next hash function of each tree, with the components of now."""
-    minwise = F.get(F.col("sig"), F.pmod(F.col("tree") * LEVELS + F.lit(level + level // LEVELS * (LEVELS + 1)), F.lit(HASHES)).cast("int"))
+def child_rows(rows: DataFrame, classes: DataFrame, labels: DataFrame, levels: range) -> DataFrame:
+    """The same rows further down, by the hash functions of these levels for each tree, with the components of now."""
+    at = lambda level: F.pmod(F.col("tree") * LEVELS + F.lit(level + level // LEVELS * (LEVELS + 1)), F.lit(HASHES)).cast("int")
     deeper = rows.select("tree", "node", "cid").join(classes.select("cid", "sig"), "cid")
-    return labelled(deeper.select("tree", F.xxhash64("node", minwise).alias("node"), "cid"), labels)
+    return labelled(deeper.select("tree", F.xxhash64("node", *[F.get(F.col("sig"), at(k)) for k in levels]).alias("node"), "cid"), labels)
 
 
 def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -153,6 +155,19 @@ def node_pairs(rows: DataFrame) -> DataFrame:
     return members.select(F.explode(F.flatten(F.transform("m", other))).alias("p")).select("p.a", "p.b")
 
 
+def with_main(large: DataFrame) -> DataFrame:
+    """Rows of large nodes with the node's main component, that of most of its classes, and how many are in others."""
+    by_comp = large.groupBy("node", "comp").agg(F.count("*").alias("in_comp"))
+    main = by_comp.groupBy("node").agg(F.max_by("comp", "in_comp").alias("main"), (F.sum("in_comp") - F.max("in_comp")).alias("rest"))
+    return large.join(main, "node")
+
+
+def rest_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): the few classes outside a node's main component with all classes of other components in the node."""
+    rest = rows.filter("comp <> main").select("node", F.col("cid").alias("x"), F.col("comp").alias("cx"))
+    return rows.join(rest, "node").filter("comp <> cx").select(F.least("cid", "x").alias("a"), F.greatest("cid", "x").alias("b"))
+
+
 def block_pairs(rows: DataFrame) -> DataFrame:
     """(a, b): all pairs of different components within nodes of any size, as a join that Spark splits where it is skewed."""
     x, y = rows.select("node", F.col("cid").alias("a"), F.col("comp").alias("ca")), rows.select("node", F.col("cid").alias("b"), F.col("comp").alias("cb"))
@@ -223,21 +238,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     confirm = lambda pairs: confirmed(likely(pairs, classes, percent), classes, docs, id_col, text_col, percent)
 
     # Two trees, linked to one leader in each node, tie most of each group together.
-    links = [confirm(star_pairs(mixed(tree_rows(labelled(classes, None), range(2))), ("first",)))]
-    labels = connected_components(links[0])
+    labels = connected_components(confirm(star_pairs(mixed(tree_rows(labelled(classes, None), range(2))), ("first",))))
     now = tree_rows(labelled(classes, labels), range(TREES))
-    for level in range(1, DEPTH + 1):
+    for level in range(1, DEPTH + 1, STRIDE):
         nodes = cut(mixed(now))
-        large = nodes.filter(F.col("size") > small)
-        more = large.limit(1).count() > 0
         pairs = node_pairs(nodes.filter(F.col("size") <= small))
+        large = nodes.filter(F.col("size") > small)
+        more = False
+        if large.limit(1).count():
+            large = cut(with_main(large))
+            pairs = pairs.unionByName(rest_pairs(large.filter(F.col("rest") <= small)))
+            large = large.filter(F.col("rest") > small)
+            more = large.limit(1).count() > 0
         if more:
-            pairs = pairs.unionByName(star_pairs(large, ("first", "last")) if level < DEPTH else block_pairs(large))
-        links.append(confirm(pairs))
-        labels = connected_components(reduce(DataFrame.unionByName, links))
+            pairs = pairs.unionByName(star_pairs(large, ("first", "last")) if level + STRIDE <= DEPTH else block_pairs(large))
+        labels = merge_components(labels, confirm(pairs))
         if not more:
             break
-        now = child_rows(large, classes, labels, level)
+        now = child_rows(large, classes, labels, range(level, level + STRIDE))
 
     # Smallest document id of each component, then of each class, then of each row.
     inside = classes.select("cid", "key", "id").join(labels, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
