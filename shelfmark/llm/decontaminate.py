@@ -3,20 +3,23 @@
 The benchmark is the stated query set; it is taken in blocks of at most ITEMS items, so what is broadcast is bounded, and each
 block is held against all documents:
 
-1. document frequencies of the block's terms over all passages of all documents, as distributed sums;
+1. one pass over all documents counts in how many passages each of the block's terms is, and notes the stretches that may
+   match an item. An item's anchors are the rarest of its terms that make up ANCHORS of its words. A match holds LCS of the
+   words and so misses at most 1 - LCS of them: at least ANCHORS + LCS - 1 of the words are anchors within the stretch that
+   a match may span. Stretches with fewer can't match, so passing them over loses nothing;
 2. a distributed randomised SVD of the block's TF-IDF passages: partial products with a random matrix are summed by term;
-3. every document's overlapping passages are projected, and those near an item by cosine are candidates. A passage with
-   fewer than two anchors, which are an item's rare terms, has next to no latent weight and is passed over;
+3. the passages of the noted stretches are projected, and those near their item by cosine are candidates;
 4. a candidate is confirmed by the longest common subsequence of words with the item, of at least LCS of the item's words,
    and by the item's answer, its last words, of which ANSWER must be found in order within the match.
 
-Defined results: null and empty texts are in no result; items without words match nothing; repeated documents each give
-rows, repeated items of one id give one; null document ids are kept as null; empty tables give no rows; other columns are
+Defined results: null and empty texts are in no result; items without words match nothing; rows that repeat a document id
+give one, repeated items of one id give one; null document ids are kept as null; empty tables give no rows; other columns are
 ignored. The result has a row for each contaminated document and item.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,20 +32,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.frames import TEXT_ROWS, map_arrow, sliced, small_batches, two_columns
-from shelfmark.session import cut
+from shelfmark.llm.frames import TEXT_ROWS, sliced, small_batches, two_columns
+from shelfmark.session import cut, stored
 
 #: Items in a block, latent dimensions, words of a passage and from one to the next.
 ITEMS, RANK, WINDOW, STEP = 5000, 128, 32, 8
 COSINE, LCS, ANSWER, ANSWER_WORDS = 0.35, 0.65, 0.6, 5
-#: A term in at most this share of passages is rare; an item's anchors are its rare terms, or its rarest few.
-RARE, LEAST_ANCHORS = 0.001, 8
+#: Share of an item's words that its anchors make up; a match spans at most so many times the item's words.
+ANCHORS, SPAN = 0.6, 1.5
+#: Partitions in which the items' matrix is multiplied: each sends one row for each of its terms to the driver.
+PARTS = 4
 WORDS_KEPT = 400_000
 
 NOT_LETTERS = re.compile(r"[\W_]+")
 
 
 def normal(word: str) -> str:
+    if word.isalpha():
+        return word.lower()
     return NOT_LETTERS.sub("", word.lower())
 
 
@@ -68,49 +75,137 @@ class _Terms(dict):
             self.clear()
         words = text.split()
         found = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-        return found[found > -2] if found.size and found.min() == -2 else found
+        return found[found > -2]
+
+
+_WORKER: dict[str, _Terms] = {}
+
+
+def worker_terms(items: Items) -> _Terms:
+    """This worker's words for a block of items; those of an earlier block go."""
+    if items.key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[items.key] = _Terms(items.terms)
+    return _WORKER[items.key]
 
 
 @dataclass
-class Index:
-    """A block of items in latent space."""
+class Items:
+    """A block of items: their words as term numbers, and which items each term is an anchor of."""
 
     item_ids: list
-    words: list[list[int]]  # each item's words as term numbers
+    words: list[np.ndarray]
     terms: dict[str, int]
-    project: np.ndarray  # idf x right singular vectors
-    items: np.ndarray  # unit vectors
-    anchor: np.ndarray  # whether a term is one
+    key: str  # a digest of the terms
+    offsets: np.ndarray  # of each term's items among `anchored`
+    anchored: np.ndarray
+    need: np.ndarray  # anchors that a match of each item holds at least
+    span: np.ndarray  # words that it spans at most
+
+    @classmethod
+    def of(cls, rows: list[tuple[object, list[str]]]) -> Items:
+        terms = {w: k for k, w in enumerate(sorted({w for _, ws in rows for w in ws}))}
+        words = [np.array([terms[w] for w in ws], np.int32) for _, ws in rows]
+        in_items = np.bincount(np.concatenate([np.unique(ws) for ws in words]), minlength=len(terms))
+        by_term: list[list[int]] = [[] for _ in terms]
+        need = []
+        for k, ws in enumerate(words):
+            counts = Counter(ws.tolist())
+            held, most = 0, 1
+            for t in sorted(counts, key=lambda t: (in_items[t], counts[t])):
+                if held >= ANCHORS * len(ws):
+                    break
+                held, most = held + counts[t], max(most, counts[t])
+                by_term[t].append(k)
+            # Words of an item that aren't in a match: at most (1 - LCS) of them.
+            need.append(max(1, -(-int(held - (1 - LCS) * len(ws)) // most)))
+        lens = np.array([len(x) for x in by_term])
+        key = hashlib.md5("\n".join(terms).encode()).hexdigest()
+        return cls([i for i, _ in rows], words, terms, key, np.concatenate([[0], np.cumsum(lens)]), np.array([k for x in by_term for k in x], np.int32), np.array(need), np.array([int(np.ceil(SPAN * len(ws))) for ws in words]))
+
+    def stretches(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, start, stop) of the stretches of a document that hold enough of an item's anchors."""
+        at = np.flatnonzero(ids >= 0)
+        own = ids[at]
+        starts = self.offsets[own]
+        lens = self.offsets[own + 1] - starts
+        ends = np.cumsum(lens)
+        if not len(ends) or not ends[-1]:
+            return []
+        items = self.anchored[np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1])]
+        enough = np.bincount(items, minlength=len(self.need)) >= self.need
+        keep = enough[items]
+        if not keep.any():
+            return []
+        items, places = items[keep], np.repeat(at, lens)[keep]
+        order = np.argsort(items, kind="stable")
+        items, places = items[order], places[order]
+        need = self.need[items]
+        far = np.arange(len(items)) + need - 1
+        inside = far < len(items)
+        first, last = np.flatnonzero(inside), far[inside]
+        hit = (items[first] == items[last]) & (places[last] - places[first] <= self.span[items[first]])
+        found: list[tuple[int, int, int]] = []
+        for a, b in zip(first[hit], last[hit], strict=True):
+            item, margin = int(items[a]), int(self.span[items[a]])
+            start, stop = max(0, int(places[a]) - margin), int(places[b]) + margin
+            if found and found[-1][0] == item and start <= found[-1][2]:
+                found[-1] = (item, found[-1][1], stop)
+            else:
+                found.append((item, start, stop))
+        return found
 
 
-def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
-    """In how many passages of all documents each term is, and how many passages there are."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+def scan(docs: DataFrame, items: Items, id_type: T.DataType) -> DataFrame:
+    """One pass over all documents. Rows of two kinds: (id, item, words) for noted stretches, and (term, n) sums of passages."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("item", T.IntegerType()), T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("term", T.LongType()), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(shared.value)
-        found, passages, known = np.zeros(n, np.int64), 0, _Terms(shared.value)
+        own = shared.value
+        n = len(own.terms)
+        sums, passages, known, kind = np.zeros(n, np.int64), 0, worker_terms(own), None
         for big in batches:
+            kind = big.schema.field(0).type
             for batch in sliced(big, TEXT_ROWS):
-                parts, at = [], 0
-                for text in batch.column(0).to_pylist():
+                parts, at, rows, found = [np.zeros(0, np.int64)], 0, [], []
+                for k, text in enumerate(batch.column(1).to_pylist()):
                     ids = known.of(text)
-                    place = np.arange(len(ids)) // WINDOW + at
+                    inside = np.flatnonzero(ids >= 0)
+                    parts.append((inside // WINDOW + at) * n + ids[inside])
                     at += -(-len(ids) // WINDOW)
-                    inside = ids >= 0
-                    parts.append(place[inside] * n + ids[inside])
+                    for item, start, stop in own.stretches(ids):
+                        rows.append(k)
+                        found.append((item, ids[start:stop]))
                 passages += at
-                found += np.bincount(np.unique(np.concatenate(parts)) % n, minlength=n) if parts else 0
-        used = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(found[used], passages))], ["term", "n"])
+                sums += np.bincount(np.unique(np.concatenate(parts)) % n, minlength=n)
+                if rows:
+                    empty = pa.nulls(len(rows), pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.list_(pa.int32())), empty, empty], schema.fieldNames())
+        if kind is not None:
+            used = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(used) + 1, kind), pa.nulls(len(used) + 1, pa.int32()), pa.nulls(len(used) + 1, pa.list_(pa.int32())), pa.array(np.append(used, -1)), pa.array(np.append(sums[used], passages))], schema.fieldNames())
+
+    return stored(docs.mapInArrow(run, schema), "scan")
+
 
-    # At most one row for each term of the block.
-    summed = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+def inverse_frequencies(scanned: DataFrame, terms: int) -> np.ndarray:
+    """Of each term, over the passages of all documents; at most one row for each term comes to the driver."""
+    summed = scanned.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     total = int(summed.loc[summed["term"] == -1, "n"].sum())
     own = summed[summed["term"] >= 0]
-    out = np.zeros(len(terms))
-    out[own["term"].to_numpy()] = own["n"].to_numpy()
-    return out, total
+    found = np.zeros(terms)
+    found[own["term"].to_numpy()] = own["n"].to_numpy()
+    return np.log((1 + total) / (1 + found)) + 0.05
+
+
+@dataclass
+class Index:
+    """A block of items in latent space."""
+
+    items: Items
+    project: np.ndarray  # idf x right singular vectors, and a row of zeros
+    vectors: np.ndarray  # unit vectors of the items
 
 
 def randomised_svd(items: DataFrame, terms: dict[str, int], idf: np.ndarray, rank: int) -> np.ndarray:
@@ -121,7 +216,7 @@ def randomised_svd(items: DataFrame, terms: dict[str, int], idf: np.ndarray, ran
     spark = items.sparkSession
     width = min(rank + 16, len(terms))
     basis = np.linalg.qr(np.random.default_rng(5).standard_normal((len(terms), width)))[0]
-    rows = items.select("text").repartition(max(1, min(64, spark.sparkContext.defaultParallelism)))
+    rows = items.select("text").repartition(PARTS)
 
     def product(basis: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast((terms, idf, basis))
@@ -139,12 +234,12 @@ def randomised_svd(items: DataFrame, terms: dict[str, int], idf: np.ndarray, ran
                         y = x @ q[at]
                         for t, v in zip(at, x, strict=True):
                             sums[t] = sums.get(t, 0) + v * y
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["term", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["term", "v"])
 
-        parts = rows.mapInArrow(run, "term long, v array<double>")
-        by_term = parts.select("term", F.posexplode("v").alias("k", "x")).groupBy("term", "k").agg(F.sum("x").alias("x")).toPandas()
+        # PARTS rows at most for each term of the block.
         out = np.zeros_like(basis)
-        out[by_term["term"].to_numpy(), by_term["k"].to_numpy()] = by_term["x"].to_numpy()
+        for term, v in rows.mapInArrow(run, "term long, v binary").toPandas().itertuples(index=False):
+            out[term] += np.frombuffer(v)
         return out
 
     basis = np.linalg.qr(product(basis))[0]
@@ -153,33 +248,12 @@ def randomised_svd(items: DataFrame, terms: dict[str, int], idf: np.ndarray, ran
     return u[:, :rank][:, keep]
 
 
-def build_index(docs: DataFrame, block: DataFrame, rank: int = RANK) -> Index | None:
-    """The index of a block of (item_id, text) with at most ITEMS rows; None if it has no words."""
-    rows = block.collect()
-    texts = [(r.item_id, item_words(r.text)) for r in rows]
-    texts = [(i, w) for i, w in texts if w]
-    if not texts:
-        return None
-    terms = {w: k for k, w in enumerate(sorted({w for _, ws in texts for w in ws}))}
-    found, passages = document_frequencies(docs, terms)
-    idf = np.log((1 + passages) / (1 + found)) + 0.05
-    project = (idf[:, None] * randomised_svd(block, terms, idf, rank)).astype(np.float32)
-    words = [[terms[w] for w in ws] for _, ws in texts]
-    vectors = np.stack([project[ws].sum(axis=0) for ws in words])
-    anchor = found <= RARE * passages
-    for ws in words:
-        own = sorted(set(ws), key=lambda t: -idf[t])
-        if sum(anchor[t] for t in own) < LEAST_ANCHORS:
-            anchor[own[:LEAST_ANCHORS]] = True
-    return Index([i for i, _ in texts], words, terms, project, unit(vectors), anchor)
-
-
 def unit(rows: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(norms > 0, norms, 1)
 
 
-def common_subsequence(item: list[int], words: np.ndarray) -> tuple[int, int]:
+def common_subsequence(item: list[int], words: list[int]) -> tuple[int, int]:
     """Length of the longest common subsequence of an item and some words; the same for the item's last ANSWER_WORDS.
 
     Rows of the table are bits of an integer: a 0 bit marks where the length grows.
@@ -200,36 +274,27 @@ def common_subsequence(item: list[int], words: np.ndarray) -> tuple[int, int]:
     return length(item), length(item[-ANSWER_WORDS:])
 
 
-def matches(index: Index, ids: np.ndarray) -> dict[int, tuple[float, float, float]]:
-    """item number -> (cosine, share of its words, share of its answer) of a document's confirmed items."""
-    n = len(ids)
-    if n < 3:
-        return {}
-    starts = np.arange(0, max(1, n - WINDOW + STEP), STEP)
-    stops = np.minimum(starts + WINDOW, n)
-    rare = np.concatenate([[0], np.cumsum(index.anchor[ids] & (ids >= 0))])
-    near = np.flatnonzero(rare[stops] - rare[starts] >= 2)
-    if not len(near):
-        return {}
-    vectors = np.stack([index.project[own[own >= 0]].sum(axis=0) for own in (ids[starts[k] : stops[k]] for k in near)])
-    cosine = unit(vectors) @ index.items.T
-    best: dict[int, tuple[float, float, float]] = {}
-    for k, item in zip(*np.nonzero(cosine >= COSINE), strict=True):
-        own = index.words[item]
-        if item in best and best[item][1] == 1.0:
-            continue
-        # A window may hold any part of the item, so what is compared reaches as far on both sides.
-        around = ids[max(0, starts[near[k]] - len(own)) : stops[near[k]] + len(own)]
-        total, answer = common_subsequence(own, around.tolist()) if len(around) <= 3 * len(own) else best_stretch(own, around)
-        found = (float(cosine[k, item]), total / len(own), answer / min(len(own), ANSWER_WORDS))
-        if found[1] >= LCS and found[2] >= ANSWER and found > best.get(item, (-1.0, 0.0, 0.0)):
-            best[int(item)] = found
-    return best
+def best_match(index: Index, item: int, ids: np.ndarray) -> tuple[float, float, float] | None:
+    """(cosine, share of the item's words, share of its answer) of a stretch that matches its item."""
+    starts = np.arange(0, max(1, len(ids) - WINDOW + STEP), STEP)
+    sums = np.zeros((len(ids) + 1, index.project.shape[1]))
+    np.cumsum(index.project[ids], axis=0, out=sums[1:])  # words that are no terms have the last row, of zeros
+    vectors = unit(sums[np.minimum(starts + WINDOW, len(ids))] - sums[starts])
+    cosine = float((vectors @ index.vectors[item]).max())
+    if cosine < COSINE:
+        return None
+    own = index.items.words[item].tolist()
+    # No part of the stretch holds a longer common subsequence than the whole.
+    if common_subsequence(own, ids.tolist())[0] < LCS * len(own):
+        return None
+    total, answer = best_stretch(own, ids)
+    found = (cosine, total / len(own), answer / min(len(own), ANSWER_WORDS))
+    return found if found[1] >= LCS and found[2] >= ANSWER else None
 
 
 def best_stretch(own: list[int], around: np.ndarray) -> tuple[int, int]:
-    """The best of stretches one and a half times as long as the item, a quarter of it apart."""
-    size, step = max(8, len(own) * 3 // 2), max(1, len(own) // 4)
+    """The best of stretches as long as a match may span, a quarter of the item apart."""
+    size, step = int(np.ceil(SPAN * len(own))), max(1, len(own) // 4)
     return max(common_subsequence(own, around[a : a + size].tolist()) for a in range(0, max(1, len(around) - size + step), step))
 
 
@@ -244,30 +309,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     item_type = pa.int64() if isinstance(benchmark.schema[item_col].dataType, T.LongType) else None
 
     def search(block: DataFrame) -> DataFrame | None:
-        index = build_index(rows, block)
-        if index is None:
+        texts = [(r.item_id, w) for r in block.collect() if (w := item_words(r.text))]
+        if not texts:
             return None
-        shared = spark.sparkContext.broadcast(index)
+        items = Items.of(texts)
+        scanned = scan(rows, items, docs.schema[id_col].dataType)
+        idf = inverse_frequencies(scanned, len(items.terms))
+        project = (idf[:, None] * randomised_svd(block, items.terms, idf, RANK)).astype(np.float32)
+        vectors = unit(np.stack([project[ws].sum(axis=0) for ws in items.words]))
+        project = np.concatenate([project, np.zeros((1, project.shape[1]), np.float32)])
+        shared = spark.sparkContext.broadcast(Index(items, project, vectors))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            known = _Terms(own.terms)
-            for big in batches:
-                for batch in sliced(big, TEXT_ROWS):
-                    at, found = [], []
-                    for k, text in enumerate(batch.column(1).to_pylist()):
-                        for item, values in matches(own, known.of(text)).items():
-                            at.append(k)
-                            found.append((own.item_ids[item], *values))
-                    columns = list(zip(*found, strict=True)) or [()] * 4
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(columns[0], item_type), *(pa.array(c, pa.float64()) for c in columns[1:])], schema.fieldNames())
-
-        return rows.mapInArrow(run, schema)
+            index = shared.value
+            for batch in batches:
+                at, found = [], []
+                for k, (item, ids) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                    if (values := best_match(index, item, np.array(ids, np.int32))) is not None:
+                        at.append(k)
+                        found.append((index.items.item_ids[item], *values))
+                columns = list(zip(*found, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(columns[0], item_type), *(pa.array(c, pa.float64()) for c in columns[1:])], schema.fieldNames())
+
+        return scanned.filter("item IS NOT NULL").select("id", "item", "words").mapInArrow(run, schema)
 
     block_of = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
     # Blocks by hash are of about equal size; the loop is over the benchmark's blocks, not over documents.
     found = [f for k in range(blocks) if (f := search(items.filter(block_of == k))) is not None]
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
-
-
-__all__ = ["contaminated", "map_arrow"]
+    if not found:
+        return spark.createDataFrame([], schema)
+    # An item that a document holds in several stretches gives one row, of the best.
+    best = F.max(F.struct("lcs_share", "answer_share", "cosine")).alias("b")
+    return reduce(DataFrame.unionByName, found).groupBy(id_col, "item_id").agg(best).select(id_col, "item_id", "b.cosine", "b.lcs_share", "b.answer_share")
