@@ -48,21 +48,29 @@ class _Library:
         self.whole = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
 
     def split(self, word: str) -> list[str]:
-        if any(t in word for t in self.whole):
-            return [word]
-        if word.isascii():
-            return ASCII_PIECES.findall(word.lower())
         plain = word.rstrip(",.")
-        return [plain, *re.findall(r"[,.]+", word[len(plain) :])] if plain.isalpha() else [word]
+        if plain.isalpha():
+            return [plain.lower() if plain.isascii() else plain, *([word[len(plain) :]] if len(plain) < len(word) else [])]
+        if not word.isascii() or any(t in word for t in self.whole):
+            return [word]
+        return ASCII_PIECES.findall(word.lower())
+
+    def add(self, pieces: set[str]) -> None:
+        """Lower-case ASCII letters pass the tokenizer's normalizer and splitter as they are, so its model takes them directly."""
+        model = self.tokenizer.model
+        plain = [p for p in pieces if p.isalpha() and p.isascii() and p.islower()]
+        rest = list(pieces.difference(plain))
+        for piece in plain:
+            self.known[piece] = [t.id for t in model.tokenize(piece)]
+        for piece, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[piece] = e.ids
 
     def encode(self, words: list[str]) -> list[list[int]]:
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
         split = list(map(self.split, words))
-        new = list({p for parts in split for p in parts} - self.known.keys())
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = e.ids
-        return [[i for p in parts for i in self.known[p]] for parts in split]
+        self.add({p for parts in split for p in parts} - self.known.keys())
+        return [self.known[parts[0]] if len(parts) == 1 else [i for p in parts for i in self.known[p]] for parts in split]
 
 
 def library_words(tokenizer_file: str) -> RaggedWords:
