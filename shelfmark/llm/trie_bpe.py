@@ -25,11 +25,14 @@ from pyspark.sql import types as T
 from shelfmark.llm.frames import map_arrow, small_batches, two_columns
 from shelfmark.llm.words import split_words
 
-WORDS_KEPT = 400_000
+WORDS_KEPT = 700_000
 NEVER = 1 << 60
+ENDING = 4
 
 # White space of Unicode, and the pieces that the public vocabulary's splitter keeps.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SEPARATORS = regex.compile("[\x1c-\x1f]")
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 
 
@@ -71,21 +74,28 @@ class TrieBpe:
         self.may: dict[tuple[int, int], bool] = {}
         self.right_edges: dict[int, list[tuple[int, int]]] = {}
         self.left_edges: dict[int, list[tuple[int, int]]] = {}
+        #: Endings met so far -> lengths that a token may have there.
+        self.near: dict[str, tuple[int, ...]] = {}
+        self.near_final: dict[str, tuple[int, ...]] = {}
+        #: Pieces met so far -> ids.
         self.known: dict[str, list[int]] = {}
 
     @staticmethod
-    def _sizes(tokens: dict[str, int]) -> dict[str, list[int]]:
-        """How long tokens are that end in these three letters, or that are these one or two; longest first."""
-        found: dict[str, set[int]] = {}
+    def _sizes(tokens: dict[str, int]) -> dict[str, tuple[int, ...]]:
+        """For each ending of up to four letters, how long tokens are that end so; longest first."""
+        long: dict[str, set[int]] = {}
         for t in tokens:
-            found.setdefault(t[-3:], set()).add(len(t))
-        return {k: sorted(v, reverse=True) for k, v in found.items()}
+            long.setdefault(t[-ENDING:], set()).add(len(t))
+        for end in sorted(long, key=len):
+            # Shorter tokens that end so; the next shorter ending is done before.
+            shorter = next((long[end[k:]] for k in range(1, len(end)) if end[k:] in long), set())
+            long[end] = long[end] | {n for n in shorter if n < ENDING}
+        return {end: tuple(sorted(found, reverse=True)) for end, found in long.items()}
 
-    def _ends(self, tail: str, sizes: dict[str, list[int]]) -> Iterator[int]:
-        yield from sizes.get(tail[-3:], ()) if len(tail) > 2 else ()
-        if tail[-2:] in sizes and len(tail) > 1:
-            yield 2
-        yield 1
+    @staticmethod
+    def _ends(text: str, sizes: dict[str, tuple[int, ...]]) -> tuple[int, ...]:
+        """Lengths that a token at the end of the text may have."""
+        return sizes.get(text[-4:]) or sizes.get(text[-3:]) or sizes.get(text[-2:]) or (1,)
 
     def _edges(self, token: int, side: int, known: dict[int, list[tuple[int, int]]]) -> list[tuple[int, int]]:
         """The symbols that are at this side of the token while it is built, each with the rank of the merge that uses it up."""
@@ -123,30 +133,41 @@ class TrieBpe:
             node[""] = None
         out: dict[str, list[int]] = {}
         last, stack = [-1], [(root, "")]
-        inner, follows, sizes, final_sizes = self.inner, self.follows, self.inner_sizes, self.final_sizes
+        inner, follows, sizes, may, near = self.inner, self.follows, self.inner_sizes, self.may, self.near
         while stack:
             node, path = stack.pop()
             if depth := len(path):
                 del last[depth:]
                 found = -1
-                for n in self._ends(path, sizes):
-                    t = inner.get(path[-n:]) if n <= depth else None
-                    if t is not None and (n == depth or follows(last[depth - n], t)):
-                        found = t
-                        break
+                end = path[-ENDING:]
+                if (lengths := near.get(end)) is None:
+                    near[end] = lengths = self._ends(end, sizes)
+                for n in lengths:
+                    if n <= depth and (t := inner.get(path[-n:])) is not None:
+                        if n == depth:
+                            found = t
+                            break
+                        u = last[depth - n]
+                        ok = may.get((u, t))
+                        if ok or (ok is None and follows(u, t)):
+                            found = t
+                            break
                 last.append(found)
             for letter, child in node.items():
-                if letter:
-                    stack.append((child, path + letter))
+                if child is None:
+                    out[path] = self._read_back(path, last)
                 else:
-                    out[path] = self._read_back(path, last, final_sizes)
+                    stack.append((child, path + letter))
         return out
 
-    def _read_back(self, word: str, last: list[int], sizes: dict[str, list[int]]) -> list[int]:
+    def _read_back(self, word: str, last: list[int]) -> list[int]:
         ids, at = [], len(word)
-        for n in self._ends(word, sizes):
+        end = word[-ENDING:]
+        if (lengths := self.near_final.get(end)) is None:
+            self.near_final[end] = lengths = self._ends(end, self.final_sizes)
+        for n in lengths:
             t = self.final.get(word[-n:]) if n <= at else None
-            if t is not None and (n == at or self.follows(last[at - n], t)):
+            if t is not None and (n == at or self.may.get((last[at - n], t)) or self.follows(last[at - n], t)):
                 ids.append(t)
                 at -= n
                 break
@@ -157,8 +178,14 @@ class TrieBpe:
 
     def pieces_of(self, raw: str) -> list[str | int]:
         """What the tokenizer's normalizer and splitter make of a text: byte-letter strings, and ids of special tokens."""
+        if raw.isascii():
+            # The usual words: letters, and a comma or full stop after them.
+            if raw.isalpha():
+                return [raw.lower()]
+            if raw[:-1].isalpha() and raw[-1] in ",.":
+                return [raw[:-1].lower(), raw[-1]]
         parts: list[str | int] = []
-        for k, part in enumerate(self.cut.split(raw) if self.cut else [raw]):
+        for k, part in enumerate(self.cut.split(raw) if self.cut and "<" in raw else [raw]):
             if k % 2:
                 parts.append(self.special[part])
             elif part:
@@ -174,8 +201,8 @@ class TrieBpe:
             return piece if "\x7f" not in piece and min(piece) > " " else "".join(map(self.letters.__getitem__, piece.encode()))
         return "".join(map(self.letters.__getitem__, piece.encode()))
 
-    def encode_pieces(self, raw: list[str]) -> list[list[int]]:
-        """The ids of each string; distinct pieces that aren't known yet go through one trie."""
+    def learn(self, raw: list[str]) -> list[list[str | int]]:
+        """The pieces of each string; those that aren't known yet go through one trie."""
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
         split = [self.pieces_of(text) for text in raw]
@@ -187,7 +214,11 @@ class TrieBpe:
         finally:
             if collecting:
                 gc.enable()
-        return [[i for p in parts for i in (self.known[p] if isinstance(p, str) else (p,))] for parts in split]
+        return split
+
+    def encode_pieces(self, raw: list[str]) -> list[list[int]]:
+        """The ids of each string."""
+        return [[i for p in parts for i in (self.known[p] if isinstance(p, str) else (p,))] for parts in self.learn(raw)]
 
     def encode(self, text: str) -> list[int]:
         return [i for ids in self.encode_pieces(split_words(text)) for i in ids]
@@ -197,17 +228,30 @@ class TrieBpe:
         return " ".join(self.text[i] for i in ids)
 
 
-class _Encoded(dict):
-    """Words -> (ids, tokens) as joined strings, for one worker; new words wait until their batch is encoded."""
+class _Encoded:
+    """Joined ids and joined tokens of the words that one worker has met; new words wait until their batch is encoded."""
 
     def __init__(self, bpe: TrieBpe) -> None:
-        super().__init__()
         self.bpe = bpe
+        self.ids: dict[str, str] = {}
+        self.tokens: dict[str, str] = {}
+        self.digits = {i: str(i) for i in bpe.text}
 
     def add(self, words: set[str]) -> None:
-        new = list(words - self.keys())
-        for word, ids in zip(new, self.bpe.encode_pieces(new), strict=True):
-            self[word] = (" ".join(map(str, ids)), self.bpe.decode(ids))
+        if len(self.ids) > WORDS_KEPT:
+            self.ids.clear()
+            self.tokens.clear()
+        new = list(words.difference(self.ids))
+        text, digits, known = self.bpe.text, self.digits, self.bpe.known
+        for word, parts in zip(new, self.bpe.learn(new), strict=True):
+            ids = known[parts[0]] if len(parts) == 1 and parts[0] in known else [i for p in parts for i in (known[p] if isinstance(p, str) else (p,))]
+            self.ids[word] = " ".join([digits[i] for i in ids])
+            self.tokens[word] = " ".join([text[i] for i in ids])
+
+
+def whole_words(text: str) -> list[str]:
+    """Words between white space, none empty. Python splits at four control characters that the tokenizer keeps."""
+    return [w for w in split_words(text) if w.strip(BLANKS)] if SEPARATORS.search(text) else text.split()
 
 
 _WORKER: dict[str, _Encoded] = {}
@@ -228,14 +272,12 @@ def encode_and_decode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_i
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = worker_words(tokenizer_file)
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        split = [split_words(t) for t in batch.column(1).to_pylist()]
+        split = [whole_words(t) for t in batch.column(1).to_pylist()]
         known.add(set().union(*split))
         columns: list[list] = [[], [], [], [], []]
+        of_ids, of_tokens = known.ids.__getitem__, known.tokens.__getitem__
         for words in split:
-            pairs = [x for x in map(known.__getitem__, words) if x[0]]
-            ids, decoded = " ".join([x[0] for x in pairs]), " ".join([x[1] for x in pairs])
+            ids, decoded = " ".join(map(of_ids, words)), " ".join(map(of_tokens, words))
             columns[0].append(ids.count(" ") + 1 if ids else 0)
             columns[1].append(hashlib.sha256(ids.encode()).hexdigest())
             columns[2].append(hashlib.sha256(decoded.encode()).hexdigest())
