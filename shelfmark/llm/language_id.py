@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,13 +44,13 @@ class Model:
     """Log frequencies for each language, of words and of n-grams by length."""
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]
+    words: dict[str, Sequence[float]]
+    grams: list[dict[str, Sequence[float]]]
     cache: WordIndex = field(default_factory=WordIndex)
     scores: np.ndarray | None = None
     used: np.ndarray | None = None
 
-    def word(self, word: str) -> np.ndarray:
+    def word(self, word: str) -> Sequence[float]:
         if (known := self.words.get(word)) is not None:
             return known
         bounded = f" {word} "
@@ -58,17 +58,18 @@ class Model:
             table = self.grams[n]
             found = [v for k in range(len(bounded) - n + 1) if (v := table.get(bounded[k : k + n])) is not None]
             if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs), np.float32)
+                return [sum(x) / len(found) for x in zip(*found, strict=True)]
+        return [0.0] * len(self.langs)
 
     def _grow(self, new: list[str]) -> None:
-        rows, used = np.zeros((len(new), len(self.langs)), np.float32), np.zeros(len(new), np.int64)
+        rows, used = [], np.zeros(len(new), np.int64)
         for k, raw in enumerate(new):
-            parts = LETTERS.findall(raw.lower())
+            parts = [raw.lower()] if raw.isalpha() else LETTERS.findall(raw.lower())
             used[k] = len(parts)
-            for p in parts:
-                rows[k] += self.word(p)
-        self.scores = rows if self.scores is None else np.concatenate([self.scores, rows])
+            each = [self.word(p) for p in parts]
+            rows.append(each[0] if len(each) == 1 else [sum(x) for x in zip(*each, strict=True)] or [0.0] * len(self.langs))
+        found = np.array(rows, np.float32).reshape(len(new), len(self.langs))
+        self.scores = found if self.scores is None else np.concatenate([self.scores, found])
         self.used = used if self.used is None else np.concatenate([self.used, used])
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -133,7 +134,7 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     # The sample is bounded, and so are the counts that come to the driver: n-grams of at most LONGEST letters, and words seen twice.
     found = counts(sample(labelled, F.col("lang"), SAMPLE)).filter("n >= 2").toPandas()
     langs = sorted(found["lang"].unique())
-    tables: list[dict[str, np.ndarray]] = []
+    tables: list[dict[str, Sequence[float]]] = []
     for size in range(LONGEST + 1):
         of_size = found[found["size"] == size]
         kept: dict[str, np.ndarray] = {}
@@ -143,7 +144,7 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
             totals[k] = own["n"].sum() + 1
             for gram, n in own.nlargest(GRAMS if size else WORDS, "n")[["gram", "n"]].itertuples(index=False):
                 kept.setdefault(gram, np.zeros(len(langs)))[k] = n
-        tables.append({gram: np.log((n + 0.1) / totals).astype(np.float32) for gram, n in kept.items()})
+        tables.append({gram: np.log((n + 0.1) / totals).tolist() for gram, n in kept.items()})
     return Model(langs, tables[0], tables)
 
 
