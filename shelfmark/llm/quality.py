@@ -17,6 +17,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +42,17 @@ def hashed(feature: str) -> int:
     return zlib.crc32(feature.encode()) % FEATURES
 
 
-def word_features(word: str) -> dict[int, float]:
-    """The features of a piece between white space, with their weights."""
-    before, core, after = EDGES.match(word).groups()
+@lru_cache(1 << 16)
+def shape_features(shape: str, before: str, after: str, length: int) -> tuple[int, ...]:
+    names = (f"s {shape}", f"a {after[-2:]}", f"b {before[:2]}", f"x {shape} {bool(before)} {min(len(after), 3)}", f"k {length}")
+    return tuple(map(hashed, names))
+
+
+def word_features(word: str) -> tuple[tuple[int, ...], int]:
+    """The features of what a piece between white space is made of, and that of its word, or -1."""
+    before, core, after = ("", word, "") if word.isalpha() else EDGES.match(word).groups()
     shape = "n" if not core else "d" if core.isdigit() else "U" if core.isupper() and len(core) > 1 else "u" if core[0].isupper() else "l" if core.isalpha() else "m"
-    found: Counter = Counter()
-    if core.isalpha():
-        found[hashed(f"w {core.lower()}")] += 1.0
-    for name in (f"s {shape}", f"a {after[-2:]}", f"b {before[:2]}", f"x {shape} {bool(before)} {min(len(after), 3)}", f"k {min(len(core), 12) // 3}"):
-        found[hashed(name)] += SHAPE_WEIGHT
-    return found
+    return shape_features(shape, before[:3], after[-3:], min(len(core), 12) // 3), hashed(f"w {core.lower()}") if core.isalpha() else -1
 
 
 def line_features(text: str, n: int, again: int) -> list[tuple[str, float]]:
@@ -74,11 +76,11 @@ class Model:
     rows: np.ndarray | None = None
 
     def _grow(self, new: list[str]) -> None:
-        rows = np.zeros((len(new), self.project.shape[1]), np.float32)
-        for k, word in enumerate(new):
-            if word:
-                for f, w in word_features(word).items():
-                    rows[k] += w * self.project[f]
+        found = [word_features(w) for w in new]
+        shapes = np.array([f[0] for f in found])
+        words = np.array([f[1] for f in found])
+        rows = SHAPE_WEIGHT * self.project[shapes].sum(axis=1)
+        rows[words >= 0] += self.project[words[words >= 0]]
         self.rows = rows if self.rows is None else np.concatenate([self.rows, rows])
 
     def latent(self, texts: list[str]) -> np.ndarray:
@@ -118,8 +120,11 @@ def features_of(text: str) -> tuple[list[int], list[float]]:
     found: Counter = Counter()
     words = text.split()
     for word, n in Counter(words).items():
-        for f, w in word_features(word).items():
-            found[f] += n * w
+        shape, own = word_features(word)
+        for f in shape:
+            found[f] += n * SHAPE_WEIGHT
+        if own >= 0:
+            found[own] += n
     for name, w in line_features(text, len(words), sum(map(str.__eq__, words, words[1:]))) if found else []:
         found[hashed(name)] += w
     return list(found), [float(x) for x in found.values()]
