@@ -42,7 +42,7 @@ COSINE, LCS, ANSWER, ANSWER_WORDS = 0.35, 0.65, 0.6, 5
 ANCHORS, SPAN = 0.6, 1.5
 #: Partitions in which the items' matrix is multiplied: each sends one row for each of its terms to the driver.
 PARTS = 4
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 
 NOT_LETTERS = re.compile(r"[\W_]+")
 

@@ -31,7 +31,7 @@ from shelfmark.llm.words import WordIndex, split_words
 #: Labelled rows that the model is fitted on, for each language; words and n-grams of each length that it keeps for each.
 SAMPLE, WORDS, GRAMS = 1000, 20_000, 5_000
 LONGEST = 4
-WORDS_KEPT = 500_000
+WORDS_KEPT = 250_000
 #: Words whose evidence counts at most, so that the score of long texts isn't always 1.
 EVIDENCE = 12
 UNKNOWN = "und"

@@ -31,7 +31,7 @@ from shelfmark.llm.words import WordIndex
 
 #: Labelled rows for each label, hashed features, latent dimensions, and neighbours that vote.
 SAMPLE, FEATURES, RANK, NEIGHBOURS = 1500, 1 << 11, 32, 25
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 #: How much more the make-up of words counts than the words.
 SHAPE_WEIGHT = 3.0
 
