@@ -3,14 +3,16 @@
 A document is the set of its distinct five-word shingles, or its whole word sequence where it has fewer words. Documents of
 equal sets form a class, and only one row for each class goes on, so groups of copies cost nothing further.
 
-TREES independent trees branch the classes recursively: at each level a class goes to the child of its minwise shingle under
-that level's hash function, so classes of similarity s stay together with probability s at each level, and
-`1 - (1 - s**depth)**TREES` is the chance that some tree compares them. A node of at most SMALL classes is compared
+Independent trees branch the classes recursively: at each level a class goes to the child of its minwise shingle under a
+hash function of that tree and level alone, so classes of similarity s stay together with probability s at each level, and
+`1 - (1 - s**depth)**trees` is the chance that some tree compares them. Trees and depth follow from the threshold so that this
+is at least RECALL at the threshold and at the last depth. A node of at most SMALL classes is compared
 exhaustively. Of a larger one, in which all but SMALL classes are in one component already, those few are compared with all;
 any other is linked to two leaders and then branched further. Nodes whose classes are in one component hold nothing new and
-end there: this, and not any cap, keeps large groups of near copies linear. What is still in such nodes after DEPTH
-levels is compared exhaustively as well. A signature of the minwise values drops pairs whose
-estimate lies over six standard deviations below the threshold; all other candidates are confirmed on full shingle sets.
+end there: this, and not any cap, keeps large groups of near copies linear. What is still in large nodes at the last depth is
+compared completely on full shingle sets, in tiles of at most about two times TILE classes. Elsewhere a signature of the
+minwise values drops pairs whose estimate lies over SIGMAS standard deviations below the threshold, and all other candidates are
+confirmed on full shingle sets.
 
 Defined results: null text, empty text and text of white space have an empty set, are linked with nothing and are their
 own component. Every row is kept; rows that repeat a document id are linked by their texts like any others. The
@@ -20,8 +22,10 @@ component of rows whose ids are all null is null. An empty table gives no rows;
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -35,13 +39,15 @@ from shelfmark.operators.graph import connected_components, merge_components
 from shelfmark.session import cut, stored
 
 WORDS = 5
-TREES, LEVELS = 16, 4
-HASHES = TREES * LEVELS
 SMALL = 24
-#: Levels in all, and from one comparison to the next.
-DEPTH, STRIDE = 12, 2
-#: Minwise values of HASHES that must agree; below 0.85 by over six standard deviations.
-AGREE = 36
+#: Chance, at least, that some tree compares two classes at the threshold.
+RECALL = 0.99
+#: Least trees; trees beyond which fewer levels are taken instead; levels at most, and from one comparison to the next.
+TREES, MOST_TREES, DEPTH, STRIDE = 16, 32, 7, 2
+#: Minwise values at least, and the standard deviations by which those that agree may fall short.
+HASHES, SIGMAS = 64, 6.4
+#: Classes in a part of a large node; a tile holds two parts.
+TILE = 1000
 #: A table of ids of at most so many rows may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 SETS_KEPT = 2000
@@ -49,8 +55,36 @@ SETS_KEPT = 2000
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _LETTERS = np.random.default_rng(11).integers(1, _MASK, 256, np.uint64)
-_MULTIPLY = np.random.default_rng(12).integers(1, _MASK, HASHES, np.uint64) | np.uint64(1)
-_FLIP = np.random.default_rng(13).integers(1, _MASK, HASHES, np.uint64)
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Trees, levels of each, minwise values in all and how many of them must agree, for a threshold in percent."""
+
+    trees: int
+    depth: int
+    hashes: int
+    agree: int
+
+    @classmethod
+    def of(cls, percent: int) -> Plan:
+        s = percent / 100
+        for depth in range(DEPTH, 0, -STRIDE):
+            missed = min(max(1 - s**depth, 1e-9), 1 - 1e-9)
+            trees = max(TREES, math.ceil(math.log(1 - RECALL) / math.log(missed)))
+            if trees <= MOST_TREES:
+                break
+        hashes = max(HASHES, trees * depth)
+        return cls(trees, depth, hashes, max(0, math.floor(hashes * s - SIGMAS * math.sqrt(hashes * s * (1 - s)))))
+
+    def at(self, tree: int | Column, level: int) -> int | Column:
+        """Which minwise value branches a tree at a level: each serves one of them."""
+        return tree * self.depth + level
+
+
+def minwise_functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Flips and multipliers of n hash functions."""
+    return np.random.default_rng(13).integers(1, _MASK, n, np.uint64), np.random.default_rng(12).integers(1, _MASK, n, np.uint64) | np.uint64(1)
 
 
 class _Powers:
@@ -90,11 +124,12 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(h)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
+def signature(hashes: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The upper 32 bits of the least value of each hash function over a set."""
-    least = np.full(HASHES, _MASK, np.uint64)
-    for at in range(0, len(hashes), 2000):
-        least = np.minimum(least, ((hashes[at : at + 2000, None] ^ _FLIP) * _MULTIPLY).min(axis=0))
+    flip, multiply = functions
+    least = np.full(len(flip), _MASK, np.uint64)
+    for at in range(0, len(hashes), 500):
+        least = np.minimum(least, ((hashes[at : at + 500, None] ^ flip) * multiply).min(axis=0))
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
@@ -102,31 +137,32 @@ def set_key(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def signed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signed_rows(docs: DataFrame, id_col: str, text_col: str, hashes: int) -> DataFrame:
     """(id, key, n, sig): each row's set by digest, its size and its signature; null where the set is empty."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("sig", T.ArrayType(T.IntegerType()))])
 
+    functions = minwise_functions(hashes)
+
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
         keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.list_(pa.int32()))], ["id", "key", "n", "sig"])
+        return pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s, functions) if len(s) else None for s in sets], pa.list_(pa.int32()))], ["id", "key", "n", "sig"])
 
     return map_arrow(rows, each, schema)
 
 
-def tree_rows(classes: DataFrame, trees: range) -> DataFrame:
+def tree_rows(classes: DataFrame, plan: Plan, trees: range) -> DataFrame:
     """(tree, node, cid, comp): each class in the first-level node of its minwise shingle, for each tree."""
-    at = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.col("sig")[t * LEVELS]).alias("node")) for t in trees])).alias("at")
+    at = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.col("sig")[plan.at(t, 0)]).alias("node")) for t in trees])).alias("at")
     return classes.select("cid", "comp", at).select("at.tree", "at.node", "cid", "comp")
 
 
-def child_rows(rows: DataFrame, classes: DataFrame, labels: DataFrame, levels: range) -> DataFrame:
+def child_rows(rows: DataFrame, classes: DataFrame, labels: DataFrame, plan: Plan, levels: range) -> DataFrame:
     """The same rows further down, by the hash functions of these levels for each tree, with the components of now."""
-    at = lambda level: F.pmod(F.col("tree") * LEVELS + F.lit(level + level // LEVELS * (LEVELS + 1)), F.lit(HASHES)).cast("int")
     deeper = rows.select("tree", "node", "cid").join(classes.select("cid", "sig"), "cid")
-    return labelled(deeper.select("tree", F.xxhash64("node", *[F.get(F.col("sig"), at(k)) for k in levels]).alias("node"), "cid"), labels)
+    return labelled(deeper.select("tree", F.xxhash64("node", *[F.get(F.col("sig"), plan.at(F.col("tree"), k)) for k in levels]).alias("node"), "cid"), labels)
 
 
 def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -168,18 +204,12 @@ def rest_pairs(rows: DataFrame) -> DataFrame:
     return rows.join(rest, "node").filter("comp <> cx").select(F.least("cid", "x").alias("a"), F.greatest("cid", "x").alias("b"))
 
 
-def block_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b): all pairs of different components within nodes of any size, as a join that Spark splits where it is skewed."""
-    x, y = rows.select("node", F.col("cid").alias("a"), F.col("comp").alias("ca")), rows.select("node", F.col("cid").alias("b"), F.col("comp").alias("cb"))
-    return x.join(y, "node").filter("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
-def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def likely(pairs: DataFrame, classes: DataFrame, percent: int, agreeing: int) -> DataFrame:
     """Distinct pairs that sizes and signatures don't rule out."""
     side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"))
     both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
     agree = F.aggregate(F.zip_with("siga", "sigb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v)
-    return both.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).filter(agree >= AGREE).select("a", "b")
+    return both.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).filter(agree >= agreeing).select("a", "b")
 
 
 class _Sets:
@@ -200,15 +230,20 @@ class _Sets:
         return found[0]
 
 
+def class_texts(cids: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(cid, key, text): the documents that bear the id of one of these distinct classes."""
+    need = cut(cids.join(classes.select("cid", F.col("id").alias("of"), "key"), "cid"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    few = need.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(need) if few else need, F.col("id").eqNullSafe(F.col("of"))).select("cid", "key", "text")
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """(src, dst): the pairs whose full shingle sets are similar enough."""
     spark = docs.sparkSession
     pairs = cut(pairs)
-    need = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct().join(classes.select("cid", F.col("id").alias("of"), "key"), "cid")
-    need = cut(need)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    few = need.count() <= BROADCAST_ROWS
-    texts = rows.join(F.broadcast(need) if few else need, F.col("id").eqNullSafe(F.col("of"))).select("cid", "key", "text")
+    need = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+    texts = class_texts(need, classes, docs, id_col, text_col)
     side = lambda x: texts.select(F.col("cid").alias(x), F.col("key").alias(f"key{x}"), F.col("text").alias(f"text{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "keya", "texta", "b", "keyb", "textb")
     small_batches(spark)
@@ -230,17 +265,82 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
     return cut(both.mapInArrow(run, "src long, dst long").distinct())
 
 
+def tile_links(cids: list[int], comps: list[int], parts: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the classes of a tile as all similar pairs do: within one part, or between two.
+
+    Exact, by prefixes: in one order of all shingles, rarest first, similar sets share one of the first few of each.
+    """
+    across = len(set(parts)) > 1
+    order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
+    sizes = np.array([len(sets[k]) for k in order])
+    part, root = np.array([parts[k] for k in order]), np.unique([comps[k] for k in order], return_inverse=True)[1]
+    _, dense, counts = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    ranks = [np.sort(r) for r in np.split(rank[dense], np.cumsum(sizes)[:-1])]
+    index: dict[int, list[int]] = {}
+    mark = np.zeros(len(counts), bool)
+    found = []
+    for y, own in enumerate(ranks):
+        n = len(own)
+        # Common shingles at least: percent of n with any other, more with one that is no smaller.
+        common_any, common_larger = -(-percent * n // 100), -(-2 * percent * n // (100 + percent))
+        prefix = own[: n - common_any + 1].tolist()
+        others = np.array(sorted({x for r in prefix for x in index.get(r, ())}), np.int64)
+        for r in prefix[: n - common_larger + 1]:
+            index.setdefault(r, []).append(y)
+        keep = 100 * sizes[others] >= percent * n
+        if across:
+            keep &= part[others] != part[y]
+        others = others[keep]
+        mark[own] = True
+        while len(others := others[root[others] != root[y]]):
+            x, others = int(others[0]), others[1:]
+            common = int(mark[ranks[x]].sum())
+            if 100 * common >= percent * (n + int(sizes[x]) - common):
+                found.append((cids[order[x]], cids[order[y]]))
+                root[root == root[x]] = root[y]
+        mark[own] = False
+    return found
+
+
+def tiled(large: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, tile: int = TILE) -> DataFrame:
+    """(src, dst): links by complete comparison within large nodes; each pair of a node's parts is a group of its own."""
+    parts = F.ceil(F.col("size") / tile).cast("int")
+    placed = large.select("node", "cid", "comp", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    pairs = placed.select("node", "cid", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    tiles = pairs.select("node", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cid", "comp", "part")
+    rows = tiles.join(class_texts(large.select("cid").distinct(), classes, docs, id_col, text_col), "cid")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        held: dict[int, tuple[int, int, np.ndarray]] = {}
+        across = key[1].as_py() != key[2].as_py()
+        for batch in table.to_batches(TEXT_ROWS):
+            for cid, comp, part, digest, text in zip(*(batch.column(c).to_pylist() for c in ("cid", "comp", "part", "key", "text")), strict=True):
+                # Rows with the same document id may differ: only a text of this class counts.
+                if cid not in held and text is not None and set_key(own := shingle_set(text)) == digest:
+                    held[cid] = (comp, part, own)
+        found = []
+        if len({h[0] for h in held.values()}) > 1 and (not across or len({h[1] for h in held.values()}) > 1):
+            comps, part_of, sets = (list(c) for c in zip(*held.values(), strict=True))
+            found = tile_links(list(held), comps, part_of, sets, percent)
+        return pa.table({"src": pa.array([f[0] for f in found], pa.int64()), "dst": pa.array([f[1] for f in found], pa.int64())})
+
+    return cut(rows.groupBy("node", "i", "j").applyInArrow(run, "src long, dst long").distinct())
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; documents are linked at `percent` of Jaccard similarity."""
-    rows = stored(signed_rows(docs, id_col, text_col), "signed")
+    plan = Plan.of(percent)
+    rows = stored(signed_rows(docs, id_col, text_col, plan.hashes), "signed")
     by_key = rows.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = stored(by_key.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    confirm = lambda pairs: confirmed(likely(pairs, classes, percent), classes, docs, id_col, text_col, percent)
+    confirm = lambda pairs: confirmed(likely(pairs, classes, percent, plan.agree), classes, docs, id_col, text_col, percent)
 
     # Two trees, linked to one leader in each node, tie most of each group together.
-    labels = connected_components(confirm(star_pairs(mixed(tree_rows(labelled(classes, None), range(2))), ("first",))))
-    now = tree_rows(labelled(classes, labels), range(TREES))
-    for level in range(1, DEPTH + 1, STRIDE):
+    labels = connected_components(confirm(star_pairs(mixed(tree_rows(labelled(classes, None), plan, range(2))), ("first",))))
+    now = tree_rows(labelled(classes, labels), plan, range(plan.trees))
+    for level in range(1, plan.depth + 1, STRIDE):
         nodes = cut(mixed(now))
         pairs = node_pairs(nodes.filter(F.col("size") <= small))
         large = nodes.filter(F.col("size") > small)
@@ -250,12 +350,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             pairs = pairs.unionByName(rest_pairs(large.filter(F.col("rest") <= small)))
             large = large.filter(F.col("rest") > small)
             more = large.limit(1).count() > 0
-        if more:
-            pairs = pairs.unionByName(star_pairs(large, ("first", "last")) if level + STRIDE <= DEPTH else block_pairs(large))
+        last = level + STRIDE > plan.depth
+        if more and not last:
+            pairs = pairs.unionByName(star_pairs(large, ("first", "last")))
         labels = merge_components(labels, confirm(pairs))
         if not more:
             break
-        now = child_rows(large, classes, labels, range(level, level + STRIDE))
+        if last:
+            left = cut(mixed(labelled(large.select("tree", "node", "cid"), labels)))
+            labels = merge_components(labels, tiled(left, classes, docs, id_col, text_col, percent))
+        else:
+            now = child_rows(large, classes, labels, plan, range(level, level + STRIDE))
 
     # Smallest document id of each component, then of each class, then of each row.
     inside = classes.select("cid", "key", "id").join(labels, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))

@@ -230,3 +230,61 @@ def test_pipeline(spark):
             assert after == {i for (i, _), c in zip(rows, comp, strict=True) if i == c}
     assert ids - after
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == after
+
+
+def template_family(percent, seed, crowd=1300, pairs=300):
+    """Rows of one template whose share is below `percent`, and which of them are pairs just above it."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    template = [word() for _ in range(196)]
+    rows, near = [], []
+    own = 46 if percent == 80 else 33
+    for k in range(crowd):
+        tail = [word() for _ in range(rng.randint(own, own + 6))]
+        rows.append(" ".join(template + tail))
+        if k < pairs:
+            size = len(template) + len(tail) - 4
+            # The last words differ: d of them leave (size - d) / (size + d) of the shingles.
+            d = int(size * (1 - percent / 100) / (1 + percent / 100))
+            rows.append(" ".join(template + tail[: len(tail) - d] + [word() for _ in range(d)]))
+            assert 100 * (size - d) >= percent * (size + d) and len(tail) > d
+            near.append((len(rows) - 2, len(rows) - 1))
+    return rows, near
+
+
+@pytest.mark.parametrize("percent", [85])
+def test_near_duplicates_in_a_template_family(spark, percent):
+    rows, near = template_family(percent, seed=percent)
+    for a, b in near[:20]:
+        x, y, z = shingles(rows[a]), shingles(rows[b]), shingles(rows[-1])
+        assert percent <= 100 * len(x & y) / len(x | y) < percent + 2 and 100 * len(x & z) < percent * len(x | z)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    comp = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, percent).collect()}
+    assert sum(comp[a] == comp[b] for a, b in near) >= 0.99 * len(near), sum(comp[a] == comp[b] for a, b in near)
+    assert max(Counter(comp.values()).values()) <= 2
+
+
+def test_each_level_of_each_tree_has_its_own_hash():
+    plan = near_dup.Plan.of(85)
+    assert {plan.at(t, k) for t in range(plan.trees) for k in range(plan.depth)} == set(range(plan.trees * plan.depth))
+    assert plan.trees * plan.depth <= plan.hashes and 1 - (1 - 0.85**plan.depth) ** plan.trees >= near_dup.RECALL
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_tiles_are_complete(parts):
+    rng = random.Random(parts)
+    texts = [t for _, t in planted(20, seed=parts) if t and words_of(t)]
+    sets = {near_dup.set_key(s): s for s in (near_dup.shingle_set(t.encode()) for t in texts)}
+    sets = list(sets.values())
+    part = [rng.randrange(parts) for _ in sets]
+    like = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+
+    def grouped(links):
+        up = list(range(len(sets)))
+        for a, b in links:
+            up = [up[b] if x == up[a] else x for x in up]
+        return {frozenset(k for k in range(len(sets)) if up[k] == r) for r in set(up)}
+
+    every = [(a, b) for a in range(len(sets)) for b in range(a) if (parts == 1 or part[a] != part[b]) and like(sets[a], sets[b])]
+    links = near_dup.tile_links(list(range(len(sets))), list(range(len(sets))), part, sets, 80)
+    assert grouped(links) == grouped(every) and len(links) == len(sets) - len(grouped(every))
