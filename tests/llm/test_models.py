@@ -252,7 +252,7 @@ def template_family(percent, seed, crowd=1300, pairs=300):
     return rows, near
 
 
-@pytest.mark.parametrize("percent", [85])
+@pytest.mark.parametrize("percent", [85, 80])
 def test_near_duplicates_in_a_template_family(spark, percent):
     rows, near = template_family(percent, seed=percent)
     for a, b in near[:20]:
