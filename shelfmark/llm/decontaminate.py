@@ -276,14 +276,17 @@ def common_subsequence(item: list[int], words: list[int]) -> tuple[int, int]:
 
 def best_match(index: Index, item: int, ids: np.ndarray) -> tuple[float, float, float] | None:
     """(cosine, share of the item's words, share of its answer) of a stretch that matches its item."""
-    starts = np.arange(0, max(1, len(ids) - WINDOW + STEP), STEP)
+    own = index.items.words[item].tolist()
+    # Windows of the item's own length besides, where it is short: in longer ones the words around would outweigh it.
+    windows = [(WINDOW, STEP)] + [(len(own), max(1, len(own) // 8))] * (len(own) < WINDOW)
+    starts = np.concatenate([np.arange(0, max(1, len(ids) - width + step), step) for width, step in windows])
+    widths = np.concatenate([np.full(len(range(0, max(1, len(ids) - width + step), step)), width) for width, step in windows])
     sums = np.zeros((len(ids) + 1, index.project.shape[1]))
     np.cumsum(index.project[ids], axis=0, out=sums[1:])  # words that are no terms have the last row, of zeros
-    vectors = unit(sums[np.minimum(starts + WINDOW, len(ids))] - sums[starts])
+    vectors = unit(sums[np.minimum(starts + widths, len(ids))] - sums[np.minimum(starts, len(ids))])
     cosine = float((vectors @ index.vectors[item]).max())
     if cosine < COSINE:
         return None
-    own = index.items.words[item].tolist()
     # No part of the stretch holds a longer common subsequence than the whole.
     if common_subsequence(own, ids.tolist())[0] < LCS * len(own):
         return None

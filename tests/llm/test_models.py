@@ -288,3 +288,17 @@ def test_tiles_are_complete(parts):
     every = [(a, b) for a in range(len(sets)) for b in range(a) if (parts == 1 or part[a] != part[b]) and like(sets[a], sets[b])]
     links = near_dup.tile_links(list(range(len(sets))), list(range(len(sets))), part, sets, 80)
     assert grouped(links) == grouped(every) and len(links) == len(sets) - len(grouped(every))
+
+
+def test_decontamination_of_short_items(spark):
+    """Verbatim copies of short items in long texts about other items' words, which outweigh them in a wide window."""
+    rng = random.Random(8)
+    items = [[rng.choice(WORDS) for _ in range(rng.randint(5, 10))] for _ in range(600)]
+    docs = []
+    for k in range(300):
+        body = [w for i in rng.sample(items, 12) for w in rng.sample(i, 3)]
+        docs.append((k, " ".join(body[:18] + items[k] + body[18:])))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b).collect()}
+    assert {(k, k) for k in range(300)} <= got
