@@ -290,15 +290,36 @@ def best_match(index: Index, item: int, ids: np.ndarray) -> tuple[float, float,
     # No part of the stretch holds a longer common subsequence than the whole.
     if common_subsequence(own, ids.tolist())[0] < LCS * len(own):
         return None
-    total, answer = best_stretch(own, ids)
-    found = (cosine, total / len(own), answer / min(len(own), ANSWER_WORDS))
-    return found if found[1] >= LCS and found[2] >= ANSWER else None
+    if (best := best_stretch(own, ids)) is None:
+        return None
+    return cosine, best[0] / len(own), best[1] / min(len(own), ANSWER_WORDS)
+
+
+def passes(own: list[int], total: int, answer: int) -> bool:
+    """Whether so many of an item's words, and of its answer's, are a match."""
+    return total >= LCS * len(own) and answer >= ANSWER * min(len(own), ANSWER_WORDS)
 
 
-def best_stretch(own: list[int], around: np.ndarray) -> tuple[int, int]:
-    """The best of stretches as long as a match may span, a quarter of the item apart."""
-    size, step = int(np.ceil(SPAN * len(own))), max(1, len(own) // 4)
-    return max(common_subsequence(own, around[a : a + size].tolist()) for a in range(0, max(1, len(around) - size + step), step))
+def best_stretch(own: list[int], around: np.ndarray) -> tuple[int, int] | None:
+    """The best match, as (words, words of the answer), of all stretches as long as a match may span; None if none passes.
+
+    A match starts at one of the item's words, so only stretches that start there are tried, those with most such words first.
+    """
+    size = int(np.ceil(SPAN * len(own)))
+    among = np.isin(around, own)
+    sums = np.concatenate([[0], np.cumsum(among)])
+    starts = np.flatnonzero(among)
+    bounds = np.minimum(sums[np.minimum(starts + size, len(around))] - sums[starts], len(own))
+    words, best = around.tolist(), None
+    for k in np.argsort(-bounds, kind="stable"):
+        if bounds[k] < LCS * len(own) or (best is not None and bounds[k] < best[0]):
+            break
+        found = common_subsequence(own, words[starts[k] : starts[k] + size])
+        if passes(own, *found) and (best is None or found > best):
+            best = found
+            if best == (len(own), min(len(own), ANSWER_WORDS)):
+                break
+    return best
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

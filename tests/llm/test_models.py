@@ -302,3 +302,16 @@ def test_decontamination_of_short_items(spark):
     b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b).collect()}
     assert {(k, k) for k in range(300)} <= got
+
+
+def test_stretched_match_is_found_at_any_offset():
+    own = list(range(20))
+    # Thirteen of the words and the whole answer over 29 words, which only a window near its start holds whole.
+    match = [x for k in range(8) for x in (k, -1, -1)][:-2] + list(range(13, 20))
+    match = match[:1] + [-1] * (29 - len(match)) + match[1:]
+    for shift in range(12):
+        around = np.array([-1] * (30 + shift) + match[: len(match)] + [-1] * 40)
+        assert decontaminate.best_stretch(own, around) == (15, 5)
+    # A longer stretch without the answer doesn't hide a shorter one that has it.
+    around = np.array([*range(15), *[-1] * 40, *range(6, 20)])
+    assert decontaminate.best_stretch(own, around) == (14, 5)
