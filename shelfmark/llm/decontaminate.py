@@ -10,7 +10,8 @@ block is held against all documents:
 2. a distributed randomised SVD of the block's TF-IDF passages: partial products with a random matrix are summed by term;
 3. the passages of the noted stretches are projected, and those near their item by cosine are candidates;
 4. a candidate is confirmed by the longest common subsequence of words with the item, of at least LCS of the item's words,
-   and by the item's answer, its last words, of which ANSWER must be found in order within the match.
+   and by the item's answer, its last words, of which ANSWER must be found in order within the match,
+   unless WHOLE of the item's words are found.
 
 Defined results: null and empty texts are in no result; items without words match nothing; rows that repeat a document id
 give one, repeated items of one id give one; null document ids are kept as null; empty tables give no rows; other columns are
@@ -38,6 +39,8 @@ from shelfmark.session import cut, stored
 #: Items in a block, latent dimensions, words of a passage and from one to the next.
 ITEMS, RANK, WINDOW, STEP = 5000, 128, 32, 8
 COSINE, LCS, ANSWER, ANSWER_WORDS = 0.35, 0.65, 0.6, 5
+#: Share of an item's words beyond which a match needs no answer.
+WHOLE = 0.9
 #: Share of an item's words that its anchors make up; a match spans at most so many times the item's words.
 ANCHORS, SPAN = 0.6, 1.5
 #: Partitions in which the items' matrix is multiplied: each sends one row for each of its terms to the driver.
@@ -297,7 +300,7 @@ def best_match(index: Index, item: int, ids: np.ndarray) -> tuple[float, float,
 
 def passes(own: list[int], total: int, answer: int) -> bool:
     """Whether so many of an item's words, and of its answer's, are a match."""
-    return total >= LCS * len(own) and answer >= ANSWER * min(len(own), ANSWER_WORDS)
+    return total >= LCS * len(own) and (total >= WHOLE * len(own) or answer >= ANSWER * min(len(own), ANSWER_WORDS))
 
 
 def best_stretch(own: list[int], around: np.ndarray) -> tuple[int, int] | None:

@@ -315,3 +315,9 @@ def test_stretched_match_is_found_at_any_offset():
     # A longer stretch without the answer doesn't hide a shorter one that has it.
     around = np.array([*range(15), *[-1] * 40, *range(6, 20)])
     assert decontaminate.best_stretch(own, around) == (14, 5)
+
+
+def test_nearly_whole_item_needs_no_answer():
+    own = list(range(50))
+    assert decontaminate.best_stretch(own, np.array(own[:46] + [-1] * 30)) == (46, 1)
+    assert decontaminate.best_stretch(own, np.array(own[:44] + [-1] * 30)) is None
