@@ -290,18 +290,15 @@ def test_tiles_are_complete(parts):
     assert grouped(links) == grouped(every) and len(links) == len(sets) - len(grouped(every))
 
 
-def test_decontamination_of_short_items(spark):
-    """Verbatim copies of short items in long texts about other items' words, which outweigh them in a wide window."""
-    rng = random.Random(8)
-    items = [[rng.choice(WORDS) for _ in range(rng.randint(5, 10))] for _ in range(600)]
-    docs = []
-    for k in range(300):
-        body = [w for i in rng.sample(items, 12) for w in rng.sample(i, 3)]
-        docs.append((k, " ".join(body[:18] + items[k] + body[18:])))
-    d = spark.createDataFrame(docs, "doc_id long, text string")
-    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b).collect()}
-    assert {(k, k) for k in range(300)} <= got
+def test_short_item_is_not_diluted_by_its_surroundings():
+    items = decontaminate.Items.of([(0, ["a", "b", "c", "d", "e", "f"]), (1, ["u", "v", "w", "x", "y", "z"])])
+    project = np.zeros((13, 2), np.float32)
+    for k, own in enumerate(items.words):
+        project[own, k] = 1
+    index = decontaminate.Index(items, project, np.eye(2, dtype=np.float32))
+    around = np.tile(items.words[1], 10)
+    for at in (20, 21, 23, 30):
+        assert decontaminate.best_match(index, 0, np.concatenate([around[:at], items.words[0], around[at:]])) == (1, 1, 1)
 
 
 def test_stretched_match_is_found_at_any_offset():
