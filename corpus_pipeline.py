@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and returns a DataFrame that run()
 writes as Parquet and reads again for the next. All but the last return the columns of documents. Null and empty texts have
-no language and go in the first stage; rows with null ids are kept like others; an empty table passes through empty.
+no language and go in the first stage; an empty table passes through empty. Near duplicates and contaminated documents are
+decided by id and text: other rows of the same id stay, and rows with null ids go like others.
 """
 
 from __future__ import annotations
@@ -38,20 +39,28 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col("_score") >= QUALITY_SCORE).drop("_score")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """With a key of each row's id and text, which sorts by id, null ids last."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("digest"))
+    return docs.withColumn("_row", key)
+
+
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id; repeated rows of one id and text once."""
-    found = near_dup.near_duplicates(docs, NEAR)
-    dropped = if_small(cut(found.filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()))
-    repeated = if_small(cut(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")))
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    once = kept.join(repeated, "doc_id", "left_anti")
-    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    rows = keyed(docs)
+    found = near_dup.near_duplicates(rows, NEAR, id_col="_row")
+    dropped = if_small(cut(found.filter("NOT kept").select("_row").distinct()))
+    repeated = if_small(cut(found.groupBy("_row").count().filter("count > 1").select("_row")))
+    kept = rows.join(dropped, "_row", "left_anti")
+    once = kept.join(repeated, "_row", "left_anti")
+    return once.unionByName(kept.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])).select(docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
-    return docs.join(if_small(cut(found.select("doc_id").distinct())), "doc_id", "left_anti")
+    rows = keyed(docs)
+    found = decontaminate.contaminated(rows, read_table(spark, sf_dir, "benchmark"), id_col="_row")
+    return rows.join(if_small(cut(found.select("_row").distinct())), "_row", "left_anti").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

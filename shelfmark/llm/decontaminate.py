@@ -14,7 +14,7 @@ block is held against all documents:
    unless WHOLE of the item's words are found.
 
 Defined results: null and empty texts are in no result; items without words match nothing; rows that repeat a document id
-give one, repeated items of one id give one; null document ids are kept as null; empty tables give no rows; other columns are
+give one, as do items that repeat an id, each of whose texts is searched; null document ids are kept as null; empty tables give no rows; other columns are
 ignored. The result has a row for each contaminated document and item.
 """
 
@@ -330,7 +330,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     small_batches(spark)
     rows = two_columns(docs, id_col, text_col)
-    items = cut(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).dropDuplicates(["item_id"]))
+    items = cut(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).dropDuplicates(["item_id", "text"]))
     blocks = max(1, -(-items.count() // ITEMS))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("item_id", benchmark.schema[item_col].dataType), *(T.StructField(c, T.DoubleType()) for c in ("cosine", "lcs_share", "answer_share"))])
     item_type = pa.int64() if isinstance(benchmark.schema[item_col].dataType, T.LongType) else None

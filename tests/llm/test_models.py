@@ -318,3 +318,16 @@ def test_nearly_whole_item_needs_no_answer():
     own = list(range(50))
     assert decontaminate.best_stretch(own, np.array(own[:46] + [-1] * 30)) == (46, 1)
     assert decontaminate.best_stretch(own, np.array(own[:44] + [-1] * 30)) is None
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    a, b, c, item, other = (" ".join(rng.choice(WORDS) for _ in range(40)) for _ in range(5))
+    rows = [(1, a), (2, a + " end"), (2, b), (None, a), (None, c), (3, f"{c} {c} {item}"), (3, f"{b} {c} {b}"), (None, f"{b} {b} {c} {other}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(None, item), (None, other)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    same = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert same(corpus_pipeline.distinct(spark, docs, str(tmp_path))) == sorted([rows[k] for k in (0, 2, 4, 5, 6, 7)], key=str)
+    assert same(corpus_pipeline.uncontaminated(spark, docs, str(tmp_path))) == sorted([rows[k] for k in (0, 1, 2, 3, 4, 6)], key=str)
