@@ -3,7 +3,8 @@
 A page is cut into blocks of text, each with its path of tags from the root. Text length and punctuation are aggregated for
 each path, divided by the path's number of blocks, smoothed along the page and fused by their product; paths whose fused
 ratio reaches a share of the page's text-weighted mean are content. Elements that say by their tag, role, class or
-id that they are menus, notices, adverts, forms, comments and the like never count, nor do blocks that are mostly links.
+id that they are menus, notices, adverts, forms, comments and the like never count, nor do blocks that are mostly links. A name
+or a form doesn't exclude what wraps the page's only article or most of its text.
 Headings and short blocks beside content, in the same element, belong to it.
 
 Defined results: null and empty html, and pages without text, give an empty text; a page with text but no content path gives
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import html as html_module
 import re
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +27,8 @@ from pyspark.sql import types as T
 
 from shelfmark.llm.frames import map_arrow, small_batches
 
+#: Share of a page's text without links that makes an element its wrapper, whatever its name.
+MOST = 0.75
 #: Share of the mean fused ratio that a path needs, and of a block's text that may be links.
 THRESHOLD, LINKS = 0.1, 0.6
 
@@ -41,6 +45,7 @@ EXCLUDED_WORDS = {
 # How names of such elements start, and words that only say what stands beside.
 EXCLUDED_STARTS = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "promo", "sidebar", "sponsor", "subscri")
 BESIDE = {"has", "with", "no", "without"}
+COMMENT_WORDS = ("comment", "disqus", "replies", "reply", "respond")
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 CONTENT = {"article", "main"}
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、]")
@@ -58,6 +63,8 @@ class Element:
     excluded: bool
     content: bool
     number: int
+    hard: bool = False  # excluded by more than a name or a form
+    named: tuple[int, ...] = ()  # elements from the root to here that only a name excludes, or that are forms
 
 
 @dataclass
@@ -69,9 +76,9 @@ class Block:
     content: bool
 
 
-def says_excluded(tag: str, attributes: str, inside_content: bool) -> bool:
-    """Whether an element says that it isn't content."""
-    if tag in EXCLUDED or (tag == "header" and not inside_content):
+def says_excluded(tag: str, attributes: str, inside_content: bool, names: bool = True) -> bool:
+    """Whether an element says that it isn't content; without names, by more than a class, an id or being a form."""
+    if (tag in EXCLUDED and (names or tag != "form")) or (tag == "header" and not inside_content):
         return True
     if not attributes:
         return False
@@ -81,7 +88,7 @@ def says_excluded(tag: str, attributes: str, inside_content: bool) -> bool:
             return True
         if name == "role" and value.lower() in EXCLUDED_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+        if names and name in ("class", "id") and tag not in ("html", "body", "article", "main"):
             for token in value.split():
                 words = [w.lower() for w in WORD.findall(token)]
                 said = {w for w in words if w in EXCLUDED_WORDS or w.startswith(EXCLUDED_STARTS)}
@@ -93,7 +100,11 @@ def says_excluded(tag: str, attributes: str, inside_content: bool) -> bool:
 class Page:
     """The blocks of a page, in order."""
 
-    def __init__(self, html: str) -> None:
+    def __init__(self, html: str, spared: frozenset[int] = frozenset()) -> None:
+        self.spared = spared
+        # Of elements that only a name excludes: their text without links, what content they hold, and which are of comments.
+        self.seen, self.held, self.holds, self.comments = 0, Counter(), defaultdict(set), set()
+        self.article_outside = False
         self.blocks: list[Block] = []
         self.stack = [Element("", "", False, False, 0)]
         self.count = 0
@@ -118,7 +129,18 @@ class Page:
                     self._start(tag, m[3])
         self._flush()
 
+    def wrappers(self) -> frozenset[int]:
+        """Elements excluded by name that hold the page's main element, its only article or most of its text."""
+        if self.article_outside:
+            return frozenset()
+        return frozenset(k for k in self.holds.keys() | self.held.keys() if "main" in self.holds[k] or (k not in self.comments and ("article" in self.holds[k] or self.held[k] >= MOST * self.seen)))
+
     def _text(self, raw: str) -> None:
+        if raw and not self.stack[-1].hard and not any(e.tag == "a" for e in self.stack[-6:]):
+            n = len(raw.strip())
+            self.seen += n
+            for k in self.stack[-1].named if n else ():
+                self.held[k] += n
         if raw and not self.stack[-1].excluded:
             text = html_module.unescape(raw) if "&" in raw else raw
             self.parts.append(text)
@@ -150,8 +172,18 @@ class Page:
         top = self.stack[-1]
         self.count += 1
         content = top.content or tag in CONTENT
-        excluded = top.excluded or says_excluded(tag, attributes, top.content)
-        self.stack.append(Element(tag, top.path if tag in INLINE else f"{top.path}/{tag}", excluded, content, self.count))
+        hard, named = top.hard, top.named
+        if not hard and says_excluded(tag, attributes, top.content):
+            hard = says_excluded(tag, attributes, top.content, names=False)
+            if not hard and self.count not in self.spared:
+                named = (*named, self.count)
+                if any(w in attributes.lower() for w in COMMENT_WORDS):
+                    self.comments.add(self.count)
+        if tag in CONTENT and not hard:
+            self.article_outside |= not named
+            for k in named:
+                self.holds[k].add(tag)
+        self.stack.append(Element(tag, top.path if tag in INLINE else f"{top.path}/{tag}", hard or bool(named), content, self.count, hard, named))
 
     def _close(self, tag: str, until: set[str]) -> None:
         """An element that the next start tag ends; what is inline inside it ends as well."""
@@ -186,7 +218,10 @@ def smoothed(values: np.ndarray) -> np.ndarray:
 
 def main_text(html: str) -> str:
     """The page's content blocks, joined by one space."""
-    blocks = Page(html).blocks
+    page = Page(html)
+    if spared := page.wrappers():
+        page = Page(html, spared)
+    blocks = page.blocks
     within = [b for b in blocks if b.content]
     # Where the page names its article, only that is asked.
     if sum(len(b.text) for b in within):

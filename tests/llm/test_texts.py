@@ -191,3 +191,16 @@ def test_merkle_locates_edits(spark):
     a, b = rows(old).first(), rows(new).first()
     assert a.root != b.root and len(set(a.sections) ^ set(b.sections)) <= 4
     assert rows(old).select(F.size("leaves")).first()[0] == 50
+
+
+def test_wrappers_named_like_excluded_elements_keep_the_article():
+    body = "".join(f"<p>Sentence {k} of the article, which is long enough, has commas, and ends here.</p>" for k in range(6))
+    side = "<div class='sidebar'><p>Beside it, short.</p></div>"
+    comments = "<div id='comments'><article><p>A comment, which is no part of it, as it says.</p></article></div>"
+    for wrapper in ("div class='content-sidebar-wrap'", "div class='layout-right-sidebar'", "div id='page-with-sidebar'", "form action='x'"):
+        end = wrapper.split()[0]
+        for inner in (f"<main>{body}</main>", f"<article>{body}</article>", f"<div>{body}</div>"):
+            text = html_text.main_text(f"<body><nav>Menu</nav><{wrapper}>{inner}{side}{comments}</{end}><footer>End.</footer></body>")
+            assert text.count("Sentence") == 6 and "Beside" not in text and "comment" not in text and "Menu" not in text
+    # Comments stay out however long they are.
+    assert "comment" not in html_text.main_text(f"<body><div><p>One, two, three.</p></div>{comments * 9}</body>")
