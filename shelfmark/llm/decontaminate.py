@@ -3,16 +3,19 @@
 The benchmark is the stated query set; it is taken in blocks of at most ITEMS items, so what is broadcast is bounded, and each
 block is held against all documents:
 
-1. one pass over all documents counts in how many passages each of the block's terms is, and notes the stretches that may
-   match an item. An item's anchors are the rarest of its terms that make up ANCHORS of its words. A match holds LCS of the
-   words and so misses at most 1 - LCS of them: at least ANCHORS + LCS - 1 of the words are anchors within the stretch that
-   a match may span. Stretches with fewer can't match, so passing them over loses nothing;
+1. one pass over all documents counts in how many passages each of the block's terms is;
 2. a distributed randomised SVD of the block's TF-IDF passages: partial products with a random matrix are summed by term;
-3. the passages of the noted stretches are projected, and those near their item by cosine are candidates;
-4. a candidate is confirmed by the longest common subsequence of words with the item, of at least LCS of the item's words,
-   and by the item's answer, its last words, of which ANSWER must be found in order within the match,
+3. a second pass projects every passage of every document into the latent space and compares it with all items of the block,
+   by exact blocked products. Passages overlap by half, and are of the length among WINDOWS that suits the item.
+   Those whose cosine with an item is COSINE or more of the cosine that the item has with itself are candidates;
+4. a candidate is confirmed in the words around it by the longest common subsequence of words with the item, of at least LCS
+   of the item's words, and by the item's answer, its last words, of which ANSWER must be found in order within the match,
    unless WHOLE of the item's words are found.
 
+A term counts once in half a passage. Words that no item of the block has weigh as the rarest do, so a passage that shares a few
+words with an item is far from it. The search is approximate: a match is lost if none of its passages reaches COSINE. Tests hold it against
+exhaustive comparison, with words replaced, left out and put in.
+
 Defined results: null and empty texts are in no result; items without words match nothing; rows that repeat a document id
 give one, as do items that repeat an id, each of whose texts is searched; null document ids are kept as null; empty tables give no rows; other columns are
 ignored. The result has a row for each contaminated document and item.
@@ -20,185 +23,122 @@ ignored. The result has a row for each contaminated document and item.
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.frames import TEXT_ROWS, sliced, small_batches, two_columns
+from shelfmark.llm.frames import by_bytes, small_batches, two_columns
 from shelfmark.session import cut, stored
 
-#: Items in a block, latent dimensions, words of a passage and from one to the next.
-ITEMS, RANK, WINDOW, STEP = 5000, 128, 32, 8
-COSINE, LCS, ANSWER, ANSWER_WORDS = 0.35, 0.65, 0.6, 5
+#: Items in a block, latent dimensions, and words of a passage: an item is sought in the shortest of at least half its words.
+ITEMS, RANK, WINDOWS = 5000, 128, (8, 32, 128, 512)
+#: Passages of 8 words are for items of fewer words than this.
+SHORT = 12
+COSINE, LCS, ANSWER, ANSWER_WORDS = 0.3, 0.65, 0.6, 5
 #: Share of an item's words beyond which a match needs no answer.
 WHOLE = 0.9
-#: Share of an item's words that its anchors make up; a match spans at most so many times the item's words.
-ANCHORS, SPAN = 0.6, 1.5
+#: A match spans at most so many times the item's words.
+SPAN = 1.5
 #: Partitions in which the items' matrix is multiplied: each sends one row for each of its terms to the driver.
 PARTS = 4
-WORDS_KEPT = 250_000
-
-NOT_LETTERS = re.compile(r"[\W_]+")
+#: Bytes of text, half passages and items that a worker works on at once.
+CHUNK, PIECE, COLUMNS = 1 << 20, 4096, 1000
 
+NOT_LETTERS = r"[^\p{L}\p{N}]+"
 
-def normal(word: str) -> str:
-    if word.isalpha():
-        return word.lower()
-    return NOT_LETTERS.sub("", word.lower())
 
+def normal(words: pa.Array) -> pa.Array:
+    """Letters and digits of each word, in lower case; empty for a word without."""
+    lowered = pc.utf8_lower(words)
+    return pc.if_else(pc.utf8_is_alnum(lowered), lowered, pc.replace_substring_regex(lowered, NOT_LETTERS, ""))
 
-def item_words(text: str | None) -> list[str]:
-    return [w for w in map(normal, (text or "").split()) if w]
 
+def split_texts(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All texts' words between white space, as indices of the distinct ones, and how many each text has."""
+    split = pc.utf8_split_whitespace(texts)
+    return split.flatten().dictionary_encode(), pc.list_value_length(split).to_numpy()
 
-class _Terms(dict):
-    """Raw word -> term number, -1 for words that aren't terms, -2 for what has no letters."""
-
-    def __init__(self, terms: dict[str, int]) -> None:
-        super().__init__()
-        self.terms = terms
-
-    def __missing__(self, raw: str) -> int:
-        word = normal(raw)
-        self[raw] = found = self.terms.get(word, -1) if word else -2
-        return found
-
-    def of(self, text: str) -> np.ndarray:
-        """Term numbers of the text's words in order."""
-        if len(self) > WORDS_KEPT:
-            self.clear()
-        words = text.split()
-        found = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-        return found[found > -2]
 
+def item_words(text: str | None) -> list[str]:
+    """A text's words: letters and digits of what stands between white space."""
+    return [w for w in normal(split_texts(pa.array([text or ""]))[0].cast(pa.string())).to_pylist() if w]
 
-_WORKER: dict[str, _Terms] = {}
 
+def term_ids(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers of all texts' words in order, -1 where a word is no term, and where each text's begin, with the end of the last.
 
-def worker_terms(items: Items) -> _Terms:
-    """This worker's words for a block of items; those of an earlier block go."""
-    if items.key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[items.key] = _Terms(items.terms)
-    return _WORKER[items.key]
+    Only the distinct words of the texts are made normal and looked up.
+    """
+    words, counts = split_texts(texts)
+    if not len(words):
+        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+    distinct = normal(words.dictionary)
+    found = pc.fill_null(pc.index_in(distinct, terms), -1).to_numpy(zero_copy_only=False)
+    found = np.where(pc.equal(distinct, "").to_numpy(zero_copy_only=False), -2, found)
+    ids = found[words.indices.to_numpy()]
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    real = ids > -2
+    if not real.all():
+        starts = np.concatenate([[0], np.cumsum(real)])[starts]
+        ids = ids[real]
+    return ids, starts
 
 
 @dataclass
 class Items:
-    """A block of items: their words as term numbers, and which items each term is an anchor of."""
+    """A block of items: their words as term numbers."""
 
     item_ids: list
     words: list[np.ndarray]
     terms: dict[str, int]
-    key: str  # a digest of the terms
-    offsets: np.ndarray  # of each term's items among `anchored`
-    anchored: np.ndarray
-    need: np.ndarray  # anchors that a match of each item holds at least
-    span: np.ndarray  # words that it spans at most
 
     @classmethod
     def of(cls, rows: list[tuple[object, list[str]]]) -> Items:
         terms = {w: k for k, w in enumerate(sorted({w for _, ws in rows for w in ws}))}
-        words = [np.array([terms[w] for w in ws], np.int32) for _, ws in rows]
-        in_items = np.bincount(np.concatenate([np.unique(ws) for ws in words]), minlength=len(terms))
-        by_term: list[list[int]] = [[] for _ in terms]
-        need = []
-        for k, ws in enumerate(words):
-            counts = Counter(ws.tolist())
-            held, most = 0, 1
-            for t in sorted(counts, key=lambda t: (in_items[t], counts[t])):
-                if held >= ANCHORS * len(ws):
-                    break
-                held, most = held + counts[t], max(most, counts[t])
-                by_term[t].append(k)
-            # Words of an item that aren't in a match: at most (1 - LCS) of them.
-            need.append(max(1, -(-int(held - (1 - LCS) * len(ws)) // most)))
-        lens = np.array([len(x) for x in by_term])
-        key = hashlib.md5("\n".join(terms).encode()).hexdigest()
-        return cls([i for i, _ in rows], words, terms, key, np.concatenate([[0], np.cumsum(lens)]), np.array([k for x in by_term for k in x], np.int32), np.array(need), np.array([int(np.ceil(SPAN * len(ws))) for ws in words]))
-
-    def stretches(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, start, stop) of the stretches of a document that hold enough of an item's anchors."""
-        at = np.flatnonzero(ids >= 0)
-        own = ids[at]
-        starts = self.offsets[own]
-        lens = self.offsets[own + 1] - starts
-        ends = np.cumsum(lens)
-        if not len(ends) or not ends[-1]:
-            return []
-        items = self.anchored[np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1])]
-        enough = np.bincount(items, minlength=len(self.need)) >= self.need
-        keep = enough[items]
-        if not keep.any():
-            return []
-        items, places = items[keep], np.repeat(at, lens)[keep]
-        order = np.argsort(items, kind="stable")
-        items, places = items[order], places[order]
-        need = self.need[items]
-        far = np.arange(len(items)) + need - 1
-        inside = far < len(items)
-        first, last = np.flatnonzero(inside), far[inside]
-        hit = (items[first] == items[last]) & (places[last] - places[first] <= self.span[items[first]])
-        found: list[tuple[int, int, int]] = []
-        for a, b in zip(first[hit], last[hit], strict=True):
-            item, margin = int(items[a]), int(self.span[items[a]])
-            start, stop = max(0, int(places[a]) - margin), int(places[b]) + margin
-            if found and found[-1][0] == item and start <= found[-1][2]:
-                found[-1] = (item, found[-1][1], stop)
-            else:
-                found.append((item, start, stop))
-        return found
+        return cls([i for i, _ in rows], [np.array([terms[w] for w in ws], np.int32) for _, ws in rows], terms)
+
 
+def halves(starts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the number of its half passage of `step` words, and the number of each text's first one, with the end."""
+    n = np.diff(starts)
+    first = np.concatenate([[0], np.cumsum(-(-n // step))])
+    place = np.arange(starts[-1]) - np.repeat(starts[:-1], n)
+    return np.repeat(first[:-1], n) + place // step, first
 
-def scan(docs: DataFrame, items: Items, id_type: T.DataType) -> DataFrame:
-    """One pass over all documents. Rows of two kinds: (id, item, words) for noted stretches, and (term, n) sums of passages."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("item", T.IntegerType()), T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("term", T.LongType()), T.StructField("n", T.LongType())])
+
+def frequencies(docs: DataFrame, items: Items) -> np.ndarray:
+    """Inverse frequency of each term over the passages of all documents, and last that of a term that is nowhere.
+
+    At most one row for each term comes to the driver.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(list(items.terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        n = len(own.terms)
-        sums, passages, known, kind = np.zeros(n, np.int64), 0, worker_terms(own), None
-        for big in batches:
-            kind = big.schema.field(0).type
-            for batch in sliced(big, TEXT_ROWS):
-                parts, at, rows, found = [np.zeros(0, np.int64)], 0, [], []
-                for k, text in enumerate(batch.column(1).to_pylist()):
-                    ids = known.of(text)
-                    inside = np.flatnonzero(ids >= 0)
-                    parts.append((inside // WINDOW + at) * n + ids[inside])
-                    at += -(-len(ids) // WINDOW)
-                    for item, start, stop in own.stretches(ids):
-                        rows.append(k)
-                        found.append((item, ids[start:stop]))
-                passages += at
-                sums += np.bincount(np.unique(np.concatenate(parts)) % n, minlength=n)
-                if rows:
-                    empty = pa.nulls(len(rows), pa.int64())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.list_(pa.int32())), empty, empty], schema.fieldNames())
-        if kind is not None:
-            used = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(used) + 1, kind), pa.nulls(len(used) + 1, pa.int32()), pa.nulls(len(used) + 1, pa.list_(pa.int32())), pa.array(np.append(used, -1)), pa.array(np.append(sums[used], passages))], schema.fieldNames())
-
-    return stored(docs.mapInArrow(run, schema), "scan")
-
-
-def inverse_frequencies(scanned: DataFrame, terms: int) -> np.ndarray:
-    """Of each term, over the passages of all documents; at most one row for each term comes to the driver."""
-    summed = scanned.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    total = int(summed.loc[summed["term"] == -1, "n"].sum())
-    own = summed[summed["term"] >= 0]
-    found = np.zeros(terms)
-    found[own["term"].to_numpy()] = own["n"].to_numpy()
+        terms = pa.array(shared.value)
+        n = len(terms)
+        sums, passages = np.zeros(n + 1, np.int64), 0
+        for batch in by_bytes(batches, 0, CHUNK):
+            ids, starts = term_ids(batch.column(0), terms)
+            passage, first = halves(starts, WINDOWS[1])
+            inside = ids >= 0
+            sums += np.bincount(np.unique(passage[inside] * n + ids[inside]) % n, minlength=n + 1)
+            passages += int(first[-1])
+        sums[n] = passages
+        used = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], ["term", "n"])
+
+    summed = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    shared.destroy()
+    found = np.zeros(len(items.terms) + 1)
+    found[summed["term"].to_numpy()] = summed["n"].to_numpy()
+    total, found[-1] = found[-1], 0
     return np.log((1 + total) / (1 + found)) + 0.05
 
 
@@ -207,8 +147,90 @@ class Index:
     """A block of items in latent space."""
 
     items: Items
-    project: np.ndarray  # idf x right singular vectors, and a row of zeros
-    vectors: np.ndarray  # unit vectors of the items
+    weights: np.ndarray  # inverse frequencies, and last that of any other word
+    project: np.ndarray  # weights x right singular vectors
+    vectors: np.ndarray  # of the items, of the length that makes the product with the item itself 1
+    scales: list[tuple[int, np.ndarray]]  # words of a passage, and the items that are sought in such
+
+    @classmethod
+    def of(cls, items: Items, weights: np.ndarray, right: np.ndarray) -> Index:
+        project = (weights[:-1, None] * right).astype(np.float32)
+        own = [np.unique(ws) for ws in items.words]
+        vectors = np.stack([project[ws].sum(axis=0) for ws in own])
+        # A passage's cosine with the item, over the item's with itself: both are divided by the passage's whole length.
+        lengths = np.array([np.sqrt((weights[ws] ** 2).sum()) for ws in own], np.float32)
+        squares = (vectors**2).sum(axis=1)
+        vectors *= (lengths / np.where(squares > 0, squares, 1))[:, None]
+        n = np.array([len(ws) for ws in items.words])
+        scale = np.where(n < SHORT, 0, np.clip(np.searchsorted([2 * w for w in WINDOWS], n), 1, len(WINDOWS) - 1))
+        return cls(items, weights, project, vectors, [(WINDOWS[k], np.flatnonzero(scale == k)) for k in np.unique(scale)])
+
+    def near(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, item, first word, word after the last, cosine) of the passages of some texts that are near an item."""
+        n, rare = len(self.items.terms), self.weights[-1] ** 2
+        for width, sought in self.scales:
+            step = width // 2
+            half, first = halves(starts, step)
+            of_text = np.repeat(np.arange(len(starts) - 1), np.diff(first))
+            for low in range(0, int(first[-1]), PIECE):
+                # One half passage more, with which the last one of the piece makes a passage.
+                high = min(low + PIECE, int(first[-1]))
+                a, b = np.searchsorted(half, [low, high + 1])
+                own, at = ids[a:b], half[a:b] - low
+                inside = own >= 0
+                key = np.unique(at[inside] * n + own[inside])
+                at_term, term = key // n, key % n
+                size = high - low + 1
+                vectors, squares = np.zeros((size, self.project.shape[1]), np.float32), np.bincount(at[~inside], minlength=size) * rare
+                if len(key):
+                    squares += np.bincount(at_term, self.weights[term] ** 2, size)
+                    # The first terms of all half passages at once, then their second ones, and so on.
+                    begin = np.flatnonzero(np.diff(at_term, prepend=-1))
+                    count = np.diff(begin, append=len(key))
+                    order = np.argsort(-count, kind="stable")
+                    begin, count = begin[order], count[order]
+                    to = at_term[begin]
+                    for j in range(int(count[0])):
+                        m = int(np.searchsorted(-count, -j, "left"))
+                        vectors[to[:m]] += self.project[term[begin[:m] + j]]
+                k = np.arange(low, high)
+                text = of_text[low:high]
+                follows = k + 1 < first[text + 1]
+                use = np.flatnonzero(follows | (k == first[text]))
+                text, follows = text[use], follows[use, None]
+                passage = vectors[use] + np.where(follows, vectors[use + 1], np.float32(0))
+                length = np.sqrt(squares[use] + np.where(follows[:, 0], squares[use + 1], 0))
+                passage /= np.where(length > 0, length, 1)[:, None].astype(np.float32)
+                for c in range(0, len(sought), COLUMNS):
+                    cosine = passage @ self.vectors[sought[c : c + COLUMNS]].T
+                    row, column = np.nonzero(cosine >= COSINE)
+                    if len(row):
+                        start = starts[text[row]] + (k[use[row]] - first[text[row]]) * step
+                        yield text[row], sought[c + column], start, np.minimum(start + width, starts[text[row] + 1]), cosine[row, column]
+
+    def matches(self, ids: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, float, float, float]]:
+        """(text, item, cosine, share of the item's words, share of its answer) of confirmed candidates among some texts."""
+        parts = list(self.near(ids, starts))
+        if not parts:
+            return []
+        text, item, start, stop, cosine = (np.concatenate(x) for x in zip(*parts, strict=True))
+        found = []
+        order = np.lexsort((start, item, text))
+        size = [len(ws) for ws in self.items.words]
+        at = 0
+        while at < len(order):
+            # Passages of one text near one item whose surroundings meet are one stretch.
+            t, i = int(text[order[at]]), int(item[order[at]])
+            margin = int(np.ceil(SPAN * size[i]))
+            low, high, best = int(start[order[at]]), int(stop[order[at]]), float(cosine[order[at]])
+            at += 1
+            while at < len(order) and text[order[at]] == t and item[order[at]] == i and start[order[at]] <= high + margin:
+                high, best = max(high, int(stop[order[at]])), max(best, float(cosine[order[at]]))
+                at += 1
+            around = ids[max(int(starts[t]), low - margin) : min(int(starts[t + 1]), high + margin)]
+            if (shares := confirmed(self.items.words[i], around)) is not None:
+                found.append((t, i, best, *shares))
+        return found
 
 
 def randomised_svd(items: DataFrame, terms: dict[str, int], idf: np.ndarray, rank: int) -> np.ndarray:
@@ -229,10 +251,9 @@ def randomised_svd(items: DataFrame, terms: dict[str, int], idf: np.ndarray, ran
             sums: dict[int, np.ndarray] = {}
             for batch in batches:
                 for text in batch.column(0).to_pylist():
-                    counts = Counter(known[w] for w in item_words(text) if w in known)
-                    if counts:
-                        at = np.fromiter(counts, np.int64)
-                        x = np.fromiter(counts.values(), float) * weight[at]
+                    at = np.array(sorted({known[w] for w in item_words(text) if w in known}), np.int64)
+                    if len(at):
+                        x = weight[at].copy()
                         x /= np.linalg.norm(x) or 1
                         y = x @ q[at]
                         for t, v in zip(at, x, strict=True):
@@ -243,6 +264,7 @@ def randomised_svd(items: DataFrame, terms: dict[str, int], idf: np.ndarray, ran
         out = np.zeros_like(basis)
         for term, v in rows.mapInArrow(run, "term long, v binary").toPandas().itertuples(index=False):
             out[term] += np.frombuffer(v)
+        shared.destroy()
         return out
 
     basis = np.linalg.qr(product(basis))[0]
@@ -251,11 +273,6 @@ def randomised_svd(items: DataFrame, terms: dict[str, int], idf: np.ndarray, ran
     return u[:, :rank][:, keep]
 
 
-def unit(rows: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(rows, axis=1, keepdims=True)
-    return rows / np.where(norms > 0, norms, 1)
-
-
 def common_subsequence(item: list[int], words: list[int]) -> tuple[int, int]:
     """Length of the longest common subsequence of an item and some words; the same for the item's last ANSWER_WORDS.
 
@@ -277,27 +294,6 @@ def common_subsequence(item: list[int], words: list[int]) -> tuple[int, int]:
     return length(item), length(item[-ANSWER_WORDS:])
 
 
-def best_match(index: Index, item: int, ids: np.ndarray) -> tuple[float, float, float] | None:
-    """(cosine, share of the item's words, share of its answer) of a stretch that matches its item."""
-    own = index.items.words[item].tolist()
-    # Windows of the item's own length besides, where it is short: in longer ones the words around would outweigh it.
-    windows = [(WINDOW, STEP)] + [(len(own), max(1, len(own) // 8))] * (len(own) < WINDOW)
-    starts = np.concatenate([np.arange(0, max(1, len(ids) - width + step), step) for width, step in windows])
-    widths = np.concatenate([np.full(len(range(0, max(1, len(ids) - width + step), step)), width) for width, step in windows])
-    sums = np.zeros((len(ids) + 1, index.project.shape[1]))
-    np.cumsum(index.project[ids], axis=0, out=sums[1:])  # words that are no terms have the last row, of zeros
-    vectors = unit(sums[np.minimum(starts + widths, len(ids))] - sums[np.minimum(starts, len(ids))])
-    cosine = float((vectors @ index.vectors[item]).max())
-    if cosine < COSINE:
-        return None
-    # No part of the stretch holds a longer common subsequence than the whole.
-    if common_subsequence(own, ids.tolist())[0] < LCS * len(own):
-        return None
-    if (best := best_stretch(own, ids)) is None:
-        return None
-    return cosine, best[0] / len(own), best[1] / min(len(own), ANSWER_WORDS)
-
-
 def passes(own: list[int], total: int, answer: int) -> bool:
     """Whether so many of an item's words, and of its answer's, are a match."""
     return total >= LCS * len(own) and (total >= WHOLE * len(own) or answer >= ANSWER * min(len(own), ANSWER_WORDS))
@@ -325,6 +321,21 @@ def best_stretch(own: list[int], around: np.ndarray) -> tuple[int, int] | None:
     return best
 
 
+def confirmed(item: np.ndarray, around: np.ndarray) -> tuple[float, float] | None:
+    """(share of the item's words, share of its answer) of the best match in some words; None if none passes."""
+    own = item.tolist()
+    # Most of what cosine brings ends here: words of the item among those around, each as often as it has them.
+    inside = np.bincount(around[around >= 0], minlength=int(item.max()) + 1)[: int(item.max()) + 1]
+    if np.minimum(inside, np.bincount(item)).sum() < LCS * len(own):
+        return None
+    # No part of the words holds a longer common subsequence than the whole.
+    if common_subsequence(own, around.tolist())[0] < LCS * len(own):
+        return None
+    if (best := best_stretch(own, around)) is None:
+        return None
+    return best[0] / len(own), best[1] / min(len(own), ANSWER_WORDS)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item_id, cosine, lcs_share, answer_share) of each contaminated document and item."""
     spark = docs.sparkSession
@@ -339,26 +350,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         texts = [(r.item_id, w) for r in block.collect() if (w := item_words(r.text))]
         if not texts:
             return None
-        items = Items.of(texts)
-        scanned = scan(rows, items, docs.schema[id_col].dataType)
-        idf = inverse_frequencies(scanned, len(items.terms))
-        project = (idf[:, None] * randomised_svd(block, items.terms, idf, RANK)).astype(np.float32)
-        vectors = unit(np.stack([project[ws].sum(axis=0) for ws in items.words]))
-        project = np.concatenate([project, np.zeros((1, project.shape[1]), np.float32)])
-        shared = spark.sparkContext.broadcast(Index(items, project, vectors))
+        own = Items.of(texts)
+        weights = frequencies(rows, own)
+        index = Index.of(own, weights, randomised_svd(block, own.terms, weights[:-1], RANK))
+        shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            for batch in batches:
-                at, found = [], []
-                for k, (item, ids) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                    if (values := best_match(index, item, np.array(ids, np.int32))) is not None:
-                        at.append(k)
-                        found.append((index.items.item_ids[item], *values))
-                columns = list(zip(*found, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(columns[0], item_type), *(pa.array(c, pa.float64()) for c in columns[1:])], schema.fieldNames())
-
-        return scanned.filter("item IS NOT NULL").select("id", "item", "words").mapInArrow(run, schema)
+            terms = pa.array(list(index.items.terms))
+            for batch in by_bytes(batches, 1, CHUNK):
+                found = index.matches(*term_ids(batch.column(1), terms))
+                if found:
+                    text, item, *shares = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array([index.items.item_ids[i] for i in item], item_type), *(pa.array(c, pa.float64()) for c in shares)], schema.fieldNames())
+
+        return stored(rows.mapInArrow(run, schema), "contaminated")
 
     block_of = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
     # Blocks by hash are of about equal size; the loop is over the benchmark's blocks, not over documents.

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import ctypes
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -41,11 +45,55 @@ def sliced(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose texts in one column have about `limit` bytes, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+#: Rows and bytes of a batch that Spark sends to Python.
+BATCH_ROWS, BATCH_BYTES = 2 * TEXT_ROWS, 4 << 20
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Batches sent to Python hold whole texts, so few rows each, unless the session asks for fewer still."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > 2 * TEXT_ROWS or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(2 * TEXT_ROWS))
+    """Batches sent to Python hold whole texts, so few rows and bytes each, unless the session asks for fewer still.
+
+    Spark reads these settings when a plan runs, which may be after an operator has returned, so they stay set.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, "2147483646").rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
+_SLOT: dict[Hashable, Any] = {}
+
+
+def worker_slot(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What this Python worker keeps between batches and tasks: one thing at a time, so that another operator's goes first.
+
+    Workers outlive the stage that started them; without this each would hold the caches of all operators so far.
+    """
+    if key not in _SLOT:
+        _SLOT.clear()
+        give_back()
+        _SLOT[key] = make()
+    return _SLOT[key]
+
+
+def give_back() -> None:
+    """Return free memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 #: Rows of ids that may be broadcast: some megabytes.
