@@ -7,36 +7,45 @@ The model is fitted on a bounded sample of labelled rows, SAMPLE for each langua
 tables are bounded by WORDS and GRAMS for each language, so the broadcast model has a fixed size bound. Whole texts are
 scored.
 
-Defined results: null text, empty text and text without letters give `und` with score 0; every row is kept, repeated or
-not; where no labelled row exists, every text is `und`; ties go to the language that sorts first; an empty table gives no
-rows; other columns are ignored.
+The score is the language's share of the likelihood, calibrated: of a text of more than EVIDENCE words the mean log likelihood
+of EVIDENCE words counts, since the words of a text aren't independent and the plain product is 0 or 1 for all but the shortest.
+Calibration never changes which language is predicted. Words and n-grams that the sample holds once aren't learned.
+
+Defined results: null text, empty text and text without letters (of Unicode's categories L) give `und` with score 0; every row
+is kept, repeated or not; where no labelled row exists, every text is `und`; ties go to the language that sorts first, and at
+the cuts by WORDS and GRAMS to what sorts first; rows that repeat an id and a text are drawn once for each language; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from shelfmark.llm.frames import small_batches, two_columns
-from shelfmark.llm.words import WordIndex, split_words
+from shelfmark.llm.frames import if_small, small_batches, two_columns, worker_slot
+from shelfmark.llm.words import WordRows, split_words
+from shelfmark.session import cut
 
 #: Labelled rows that the model is fitted on, for each language; words and n-grams of each length that it keeps for each.
 SAMPLE, WORDS, GRAMS = 1000, 20_000, 5_000
 LONGEST = 4
-WORDS_KEPT = 250_000
-#: Words whose evidence counts at most, so that the score of long texts isn't always 1.
+#: Distinct words whose scores a Python worker keeps.
+WORDS_KEPT = 100_000
+#: Words whose evidence counts at most in the score.
 EVIDENCE = 12
 UNKNOWN = "und"
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 
 
 @dataclass
@@ -46,9 +55,7 @@ class Model:
     langs: list[str]
     words: dict[str, Sequence[float]]
     grams: list[dict[str, Sequence[float]]]
-    cache: WordIndex = field(default_factory=WordIndex)
-    scores: np.ndarray | None = None
-    used: np.ndarray | None = None
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def word(self, word: str) -> Sequence[float]:
         if (known := self.words.get(word)) is not None:
@@ -61,33 +68,28 @@ class Model:
                 return [sum(x) / len(found) for x in zip(*found, strict=True)]
         return [0.0] * len(self.langs)
 
-    def _grow(self, new: list[str]) -> None:
+    def scored(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of raw words by language, and how many words each of them is."""
         rows, used = [], np.zeros(len(new), np.int64)
         for k, raw in enumerate(new):
             parts = [raw.lower()] if raw.isalpha() else LETTERS.findall(raw.lower())
             used[k] = len(parts)
             each = [self.word(p) for p in parts]
             rows.append(each[0] if len(each) == 1 else [sum(x) for x in zip(*each, strict=True)] or [0.0] * len(self.langs))
-        found = np.array(rows, np.float32).reshape(len(new), len(self.langs))
-        self.scores = found if self.scores is None else np.concatenate([self.scores, found])
-        self.used = used if self.used is None else np.concatenate([self.used, used])
+        return np.array(rows, np.float32).reshape(len(new), len(self.langs)), used
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """The language of each text and its share of the likelihood."""
-        if len(self.cache) > WORDS_KEPT:
-            self.cache, self.scores, self.used = WordIndex(), None, None
-        rows = [self.cache.rows(split_words(t)) for t in texts]
-        if self.cache.new:
-            self._grow(self.cache.new)
-            self.cache.new = []
+        cache = worker_slot(("language", self.key), lambda: WordRows(self.scored, WORDS_KEPT))
+        rows, (scores, used) = cache.batch([split_words(t) for t in texts])
         out: tuple[list[str], list[float]] = ([], [])
         for r in rows:
-            n = int(self.used[r].sum())
+            n = int(used[r].sum())
             if not n or not self.langs:
                 out[0].append(UNKNOWN)
                 out[1].append(0.0)
                 continue
-            total = self.scores[r].sum(axis=0, dtype=np.float64)
+            total = scores[r].sum(axis=0, dtype=np.float64)
             scaled = (total - total.max()) * min(1.0, EVIDENCE / n)
             share = np.exp(scaled) / np.exp(scaled).sum()
             best = int(np.argmax(total))
@@ -96,12 +98,21 @@ class Model:
         return out
 
 
-def sample(rows: DataFrame, group: Column, most: int) -> DataFrame:
-    """About `most` rows of each group, drawn by a hash of the id: all of a group that has no more."""
-    hashed = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1_000_000_000))
-    # One row for each language or label: small, and the rows with their texts stay where they are.
-    sizes = rows.groupBy(group.alias("group")).agg(F.count("*").alias("in_group"))
-    return rows.withColumn("group", group).join(F.broadcast(sizes), "group").filter(hashed * F.col("in_group") <= F.lit(most * 1_000_000_000))
+def by_share(rows: DataFrame, hashed: Column, most: int) -> DataFrame:
+    """The rows whose hash falls into their group's share: about `most` different hashes of each group, all if it has no more."""
+    # One row for each group; copies of a row have one hash and count once.
+    sizes = cut(rows.groupBy("group").agg(F.approx_count_distinct(hashed).alias("different")))
+    drawn = F.pmod(hashed, F.lit(1_000_000_000)) * F.col("different") <= F.lit(most * 1_000_000_000)
+    return rows.withColumn("drawn", hashed).join(if_small(sizes), "group").filter(drawn).drop("different")
+
+
+def sample(rows: DataFrame, most: int) -> DataFrame:
+    """At most `most` rows of each group of (id, text, group), those with the least hashes of id and text; repeated rows once."""
+    # Twice what is wanted is drawn where it is, so that few rows are left to order.
+    few = by_share(rows.select("id", "text", "group"), F.xxhash64(F.lit("sample"), "id", "text"), 2 * most)
+    once = few.groupBy("group", "drawn").agg(F.min("id").alias("id"), F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("group").orderBy("drawn"))
+    return once.withColumn("place", place).filter(F.col("place") <= most).select("id", "text", "group")
 
 
 def counts(labelled: DataFrame) -> DataFrame:
@@ -130,9 +141,9 @@ def counts(labelled: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on the usable rows whose language isn't null."""
     small_batches(docs.sparkSession)
-    labelled = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    labelled = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("group"))
     # The sample is bounded, and so are the counts that come to the driver: n-grams of at most LONGEST letters, and words seen twice.
-    found = counts(sample(labelled, F.col("lang"), SAMPLE)).filter("n >= 2").toPandas()
+    found = counts(sample(labelled, SAMPLE).withColumnRenamed("group", "lang")).filter("n >= 2").toPandas()
     langs = sorted(found["lang"].unique())
     tables: list[dict[str, Sequence[float]]] = []
     for size in range(LONGEST + 1):
@@ -142,7 +153,7 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
         for k, lang in enumerate(langs):
             own = of_size[of_size["lang"] == lang]
             totals[k] = own["n"].sum() + 1
-            for gram, n in own.nlargest(GRAMS if size else WORDS, "n")[["gram", "n"]].itertuples(index=False):
+            for gram, n in own.sort_values(["n", "gram"], ascending=[False, True]).head(GRAMS if size else WORDS)[["gram", "n"]].itertuples(index=False):
                 kept.setdefault(gram, np.zeros(len(langs)))[k] = n
         tables.append({gram: np.log((n + 0.1) / totals).tolist() for gram, n in kept.items()})
     return Model(langs, tables[0], tables)

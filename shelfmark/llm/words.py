@@ -75,3 +75,29 @@ class RaggedWords:
             self.table.append(self.encode(self.index.new))
             self.index.new = []
         return [self.table.gather(rows)[0] for rows in out]
+
+
+class WordRows:
+    """A bounded cache from words to rows of arrays, which `scored` makes for the distinct new words of a batch."""
+
+    def __init__(self, scored: Callable[[list[str]], tuple[np.ndarray, ...]], limit: int) -> None:
+        self.scored, self.limit = scored, limit
+        self.index, self.arrays, self.used = WordIndex(), (), 0
+
+    def batch(self, split: Sequence[Sequence[str]]) -> tuple[list[np.ndarray], tuple[np.ndarray, ...]]:
+        """Row numbers of each text's words, and the arrays that these rows are of."""
+        if len(self.index) > self.limit:
+            self.index, self.arrays, self.used = WordIndex(), (), 0
+        rows = [self.index.rows(words) for words in split]
+        if self.index.new:
+            new = self.scored(self.index.new)
+            self.arrays = self.arrays or tuple(np.empty((0, *x.shape[1:]), x.dtype) for x in new)
+            n = self.used + len(self.index.new)
+            if n > len(self.arrays[0]):
+                # By half as much again each time, so rows are copied few times and little is empty.
+                room = max(n, len(self.arrays[0]) * 3 // 2)
+                self.arrays = tuple(np.concatenate([old[: self.used], np.empty((room - self.used, *old.shape[1:]), old.dtype)]) for old in self.arrays)
+            for array, x in zip(self.arrays, new, strict=True):
+                array[self.used : n] = x
+            self.used, self.index.new = n, []
+        return rows, self.arrays
