@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shelfmark.llm import decontaminate, language_id, near_dup, quality
@@ -139,6 +140,61 @@ def test_quality_odd(spark):
     assert quality.score(df.limit(0), model).count() == 0
 
 
+def test_letters_by_category(spark):
+    rows = [(1, "une ligne", "fr"), (2, "½ ² Ⅷ 12 —", None), (3, None, None), (4, "", None), (5, "½ une", None)]
+    df = spark.createDataFrame([(i, f"{t} {t}" if t else t, g) for i, t, g in rows], "doc_id long, text string, lang string")
+    model = language_id.fit(df, df.doc_id.isNotNull())
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(df, model).collect()} == {1: "fr", 2: "und", 3: "und", 4: "und", 5: "fr"}
+
+
+def test_language_scores_against_brute_force(spark, sf):
+    """Each word's score looked up by itself, n-grams and all, and added up."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.fit(docs, docs.doc_id % 2 == 0)
+    got = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+
+    def word(w):
+        if w in model.words:
+            return model.words[w]
+        for n in range(language_id.LONGEST, 0, -1):
+            known = [model.grams[n][g] for g in (f" {w} "[k : k + n] for k in range(len(w) + 3 - n)) if g in model.grams[n]]
+            if known:
+                return np.mean(known, axis=0)
+        return np.zeros(len(model.langs))
+
+    for r in docs.collect()[:60]:
+        words = language_id.LETTERS.findall((r.text or "").lower())
+        if not words:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        total = np.sum([word(w) for w in words], axis=0)
+        share = np.exp((total - total.max()) * min(1, language_id.EVIDENCE / len(words)))
+        assert got[r.doc_id].lang_pred == model.langs[int(np.argmax(total))]
+        assert abs(got[r.doc_id].score - share.max() / share.sum()) < 1e-3
+
+
+def test_samples_are_bounded(spark):
+    rows = [(None if k % 2 else 7, "one and the same", "a") for k in range(4000)] + [(k, f"text {k}", "b") for k in range(3000)] + [(1, "rare", "c")]
+    df = spark.createDataFrame(rows, "id long, text string, group string")
+    got = Counter(r.group for r in language_id.sample(df, 100).collect())
+    assert got == {"a": 2, "b": 100, "c": 1}
+    assert language_id.sample(df.limit(0), 100).count() == 0
+
+
+def test_quality_sample_of_repeated_ids(spark):
+    rows = [(1, f"Good words, number {k}.") for k in range(5000)] + [(2, "$$$ ###")] * 50
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    model = quality.fit(df, labels, labels.doc_id.isNotNull())
+    assert Counter(model.labels.tolist()) == {1.0: quality.SAMPLE, 0.0: 1}
+
+
+def test_votes_count_ties():
+    near = np.array([[0.5] * 40 + [0.9]], np.float32)
+    labels = np.array([1.0, 0.0] * 20 + [1.0])
+    for order in (np.arange(41), np.random.default_rng(0).permutation(41)):
+        assert abs(quality.votes(near[:, order], labels[order])[0] - (0.5 * 20 + 0.9) / (0.5 * 40 + 0.9)) < 1e-6
+
+
 def test_blocked_cosine_is_exact():
     rng = np.random.default_rng(1)
     texts = [" ".join(rng.choice(WORDS, 40)) for _ in range(50)]
@@ -147,7 +203,7 @@ def test_blocked_cosine_is_exact():
     for k, s in enumerate(model.score(texts)):
         near = vectors[k] @ model.vectors.T
         best = np.argsort(-near)[: quality.NEIGHBOURS]
-        w = np.maximum(near[best], 0).astype(float) ** 4
+        w = np.maximum(near[best], 0).astype(float)
         assert abs(s - (w * model.labels[best]).sum() / w.sum()) < 1e-6
 
 
@@ -290,15 +346,62 @@ def test_tiles_are_complete(parts):
     assert grouped(links) == grouped(every) and len(links) == len(sets) - len(grouped(every))
 
 
-def test_short_item_is_not_diluted_by_its_surroundings():
-    items = decontaminate.Items.of([(0, ["a", "b", "c", "d", "e", "f"]), (1, ["u", "v", "w", "x", "y", "z"])])
-    project = np.zeros((13, 2), np.float32)
-    for k, own in enumerate(items.words):
-        project[own, k] = 1
-    index = decontaminate.Index(items, project, np.eye(2, dtype=np.float32))
-    around = np.tile(items.words[1], 10)
-    for at in (20, 21, 23, 30):
-        assert decontaminate.best_match(index, 0, np.concatenate([around[:at], items.words[0], around[at:]])) == (1, 1, 1)
+def paraphrases(lengths, seed, per=40):
+    """Documents with items of which a fifth to a third of the words are others, left out or joined by more; and the items."""
+    rng = random.Random(seed)
+    common = [w for w in WORDS[:40]]
+    text = lambda k: [rng.choice(common) if rng.random() < 0.4 else rng.choice(WORDS) + rng.choice(WORDS) for _ in range(k)]
+    items = [text(n) for n in lengths for _ in range(6)]
+    docs = []
+    for k in range(per * len(lengths)):
+        own = list(items[k % len(items)])
+        for _ in range(int(len(own) * rng.uniform(0.2, 0.35))):
+            at, kind = rng.randrange(len(own)), rng.random()
+            if kind < 0.6:
+                own[at] = rng.choice(WORDS) + rng.choice(WORDS)
+            elif kind < 0.8 and len(own) > 3:
+                del own[at]
+            else:
+                own.insert(at, rng.choice(WORDS))
+        docs.append((k, " ".join(text(rng.randint(0, 200)) + own + text(rng.randint(0, 200)))))
+    docs += [(len(docs) + k, " ".join(text(rng.randint(100, 400)))) for k in range(per)]
+    return docs, list(enumerate(" ".join(w) for w in items))
+
+
+def exhaustive(docs, items):
+    """All pairs that the longest common subsequence and the answer confirm, without any search."""
+    found = set()
+    for i, item in items:
+        own = {w: k for k, w in enumerate(dict.fromkeys(item.split()))}
+        ids = [own[w] for w in item.split()]
+        found |= {(d, i) for d, t in docs if decontaminate.best_stretch(ids, np.array([own.get(w, -1) for w in t.split()]))}
+    return found
+
+
+@pytest.mark.parametrize("lengths,least", [((18, 30, 50, 64), 0.97), ((5, 8, 10, 12, 14), 0.93), ((70, 120, 300), 0.97)])
+def test_latent_search_against_exhaustive_comparison(spark, monkeypatch, lengths, least):
+    docs, items = paraphrases(lengths, seed=sum(lengths))
+    want = exhaustive(docs, items)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.contaminated(d, b).collect()
+    got = {(r.doc_id, r.item_id) for r in rows}
+    assert len(want) > 20 * len(lengths) and got <= want and len(got) >= least * len(want), (len(got), len(want))
+    # Cosine decides what is a candidate.
+    words = {i: decontaminate.item_words(t) for i, t in items}
+    own = decontaminate.Items.of(list(words.items()))
+    terms = pa.array(list(own.terms))
+    index = decontaminate.Index.of(own, np.ones(len(terms) + 1), np.eye(len(terms)))
+    ids, starts = decontaminate.term_ids(pa.array([t for _, t in docs]), terms)
+    counts = []
+    for cosine in (0.0, 0.3, 0.6, 0.9, 9.0):
+        monkeypatch.setattr(decontaminate, "COSINE", cosine)
+        counts.append(len({m[:2] for m in index.matches(ids, starts)}))
+    assert counts[0] == len(want) and counts == sorted(counts, reverse=True) and counts[3] < counts[0] and counts[4] == 0
+
+
+def test_terms_of_texts():
+    ids, starts = decontaminate.term_ids(pa.array(["The cat, (the) -- É", "", "x\u2003the"]), pa.array(["the", "é"]))
+    assert ids.tolist() == [0, -1, 0, 1, -1, 0] and starts.tolist() == [0, 4, 4, 6]
 
 
 def test_stretched_match_is_found_at_any_offset():
