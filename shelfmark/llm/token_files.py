@@ -5,7 +5,8 @@ the file. A manifest made from the files themselves turns these into global posi
 a look-up by document id prunes files, stripes and row groups by their statistics and Bloom filters.
 
 Defined results: null text counts as empty and gives the end id alone; a null document id sorts first; rows that repeat
-a document id are each kept, ordered by text; an empty table gives files with no rows; other columns are ignored.
+a document id are each kept, in the order of a hash of their texts, and spread over files where they are many; an empty table
+gives files with no rows; other columns are ignored. A tokenizers file that normalizes or splits otherwise is refused.
 """
 
 from __future__ import annotations
@@ -21,19 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from shelfmark.llm.frames import map_arrow, sliced, small_batches, two_columns, TEXT_ROWS
-from shelfmark.llm.words import RaggedWords
-from shelfmark.session import scratch_path
+from shelfmark.llm.frames import TEXT_ROWS, if_small, map_arrow, sliced, small_batches, two_columns, worker_slot
+from shelfmark.llm.words import RaggedWords, word_tokenizer
+from shelfmark.session import cut, scratch_path
 
-#: Distinct words that one Python worker keeps.
-WORDS_KEPT = 600_000
+#: Distinct words, and pieces of words, that one Python worker keeps.
+WORDS_KEPT = 150_000
 
 # How the public vocabulary's splitter cuts a word of ASCII characters.
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
-_WORKER: dict[str, RaggedWords] = {}
-
-
 class _Library:
     """Ids of words from the tokenizers library, which encodes each distinct piece once for a worker.
 
@@ -49,7 +47,8 @@ class _Library:
 
     def split(self, word: str) -> list[str]:
         plain = word.rstrip(",.")
-        if plain.isalpha():
+        # Of other words a letter may become several when it is lower-cased, of which some take the sign after it along.
+        if plain.isalpha() and (plain.isascii() or plain.lower().isalpha()):
             return [plain.lower() if plain.isascii() else plain, *([word[len(plain) :]] if len(plain) < len(word) else [])]
         if not word.isascii() or any(t in word for t in self.whole):
             return [word]
@@ -78,13 +77,12 @@ def library_words(tokenizer_file: str) -> RaggedWords:
 
     The tokenizer drops white space, so ids of a text are those of its words in order.
     """
-    if tokenizer_file not in _WORKER:
-        _WORKER[tokenizer_file] = RaggedWords(_Library(tokenizer_file).encode, WORDS_KEPT)
-    return _WORKER[tokenizer_file]
+    return worker_slot(("library", tokenizer_file), lambda: RaggedWords(_Library(tokenizer_file).encode, WORDS_KEPT))
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode whole texts and write (doc_id, local_start, n_tokens, ids) in ascending doc_id order."""
+    word_tokenizer(tokenizer_file)
     small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("local_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -103,9 +101,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(start + ends - lens), pa.array(lens), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["id", "local_start", "n_tokens", "ids"])
                 start += int(ends[-1])
 
-    ordered = two_columns(docs, id_col, text_col).repartitionByRange("id").sortWithinPartitions("id", "text")
+    # The hash and the row number split an id of many rows, even equal ones, over partitions; the sampled bounds hold no texts.
+    rows = two_columns(docs, id_col, text_col).withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = rows.repartitionByRange("id", "hash", "row").sortWithinPartitions("id", "hash", "row")
     (
-        ordered.mapInArrow(encode, schema)
+        ordered.select("id", "text")
+        .mapInArrow(encode, schema)
         .withColumnRenamed("id", "doc_id")
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
@@ -117,15 +118,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(file, file_start): where each file's ids start among all ids. One row for each file, so it stays small."""
-    files = spark.read.orc(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("doc_id").alias("first_id"), F.sum("n_tokens").alias("n"))
-    before = Window.orderBy(F.col("first_id").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
+    has_null = F.max(F.col("doc_id").isNull()).alias("has_null")
+    files = spark.read.orc(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(has_null, F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.sum("n_tokens").alias("n"))
+    # Files of one repeated id come between that which ends and that which begins with it, and null ids come first.
+    order = (F.col("has_null").desc(), F.when(F.col("has_null"), F.col("last_id")).asc_nulls_first(), F.col("first_id").asc_nulls_first(), F.col("last_id").asc_nulls_first(), "file")
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("file_start"))
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) with global starts, as stored."""
     rows = spark.read.orc(path).select("doc_id", "local_start", "n_tokens", "ids", F.col("_metadata.file_path").alias("file"))
-    return rows.join(F.broadcast(manifest(spark, path)), "file").select("doc_id", (F.col("file_start") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    return rows.join(if_small(cut(manifest(spark, path))), "file").select("doc_id", (F.col("file_start") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def lookup(spark: SparkSession, path: str, doc_id: int) -> DataFrame:

@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
+from typing import Any
 
 import numpy as np
 
+# How a tokenizers file must normalize and split, for encoders that work word by word.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+# What such a file says of its model and its added tokens.
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
+def word_tokenizer(tokenizer_file: str) -> dict[str, Any]:
+    """The content of a tokenizers file whose texts can be encoded word by word; another file raises ValueError."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        spec = json.load(f)
+    model = spec["model"]
+    wrong = [k for k, want in (("normalizer", NORMALIZER), ("pre_tokenizer", PRE_TOKENIZER)) if spec.get(k) != want]
+    wrong += [f"model.{k}" for k, want in MODEL.items() if model.get(k) != want]
+    wrong += ["model.continuing_subword_prefix"] * bool(model.get("continuing_subword_prefix")) + ["model.end_of_word_suffix"] * (not model.get("end_of_word_suffix"))
+    wrong += [f"added token {t['content']}" for t in spec["added_tokens"] if any(t.get(k) != want for k, want in ADDED.items())]
+    wrong += ["decoder"] * (spec.get("decoder") is not None)
+    if wrong:
+        raise ValueError(f"{tokenizer_file} isn't of the kind that is encoded word by word: {', '.join(wrong)}")
+    return spec
+
 
 class WordIndex(dict):
     """word -> row number; looking up a new word gives it the next row and notes it as new."""
