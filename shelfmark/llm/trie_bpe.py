@@ -6,14 +6,13 @@ which holds when no merge across their border would come before the merges that
 so encoded once, and a word's ids are read backwards along these tokens. Texts then gather their words' encodings.
 
 Defined results: null and empty texts have no ids and decode to ''; every row is kept, repeated or not; an empty table
-gives no rows; other columns are ignored.
+gives no rows; other columns are ignored. A tokenizers file that normalizes or splits otherwise is refused.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
-import json
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,10 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from shelfmark.llm.frames import map_arrow, small_batches, two_columns
-from shelfmark.llm.words import split_words
+from shelfmark.llm.frames import map_arrow, small_batches, two_columns, worker_slot
+from shelfmark.llm.words import split_words, word_tokenizer
 
-WORDS_KEPT = 400_000
+#: Distinct words, and pieces of words, that a Python worker keeps.
+WORDS_KEPT = 100_000
 NEVER = 1 << 60
 ENDING = 4
 
@@ -48,8 +48,7 @@ class TrieBpe:
     """Encoder for a tokenizers file with a byte-level BPE model and an end-of-word suffix."""
 
     def __init__(self, tokenizer_file: str) -> None:
-        with open(tokenizer_file, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = word_tokenizer(tokenizer_file)
         model = spec["model"]
         end = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -254,17 +253,13 @@ def whole_words(text: str) -> list[str]:
     return [w for w in split_words(text) if w.strip(BLANKS)] if SEPARATORS.search(text) else text.split()
 
 
-_WORKER: dict[str, _Encoded] = {}
-
-
 def worker_words(tokenizer_file: str) -> _Encoded:
-    if tokenizer_file not in _WORKER:
-        _WORKER[tokenizer_file] = _Encoded(TrieBpe(tokenizer_file))
-    return _WORKER[tokenizer_file]
+    return worker_slot(("trie", tokenizer_file), lambda: _Encoded(TrieBpe(tokenizer_file)))
 
 
 def encode_and_decode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256); with texts, ids and decoded text themselves (ids, decoded) as well."""
+    word_tokenizer(tokenizer_file)
     small_batches(docs.sparkSession)
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if texts:
