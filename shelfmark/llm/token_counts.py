@@ -25,26 +25,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from shelfmark.llm.frames import TEXT_ROWS, sliced, small_batches, two_columns
+from shelfmark.llm.frames import TEXT_ROWS, sliced, small_batches, two_columns, worker_slot
 
 RULES = ("most", "first", "share")
-#: Characters that are encoded in one call at most; a longer text is cut at a line feed before a letter, where tokens end.
-_WORKER: dict[tuple[str, str], tuple[Callable[[str], np.ndarray], np.ndarray]] = {}
 
 
 def byte_encoder(ranks_file: str, pattern: str) -> tuple[Callable[[str], np.ndarray], np.ndarray]:
-    """A function from text to ids, and the length in bytes of each id."""
-    if (ranks_file, pattern) not in _WORKER:
-        import tiktoken
-
-        with open(ranks_file, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        lengths = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, rank in ranks.items():
-            lengths[rank] = len(token)
-        encoding = tiktoken.Encoding("shelfmark", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _WORKER[ranks_file, pattern] = (lambda text: np.array(encoding.encode_ordinary(text), np.int64)), lengths
-    return _WORKER[ranks_file, pattern]
+    """A function from text to ids, and the length in bytes of each id; made once for a worker."""
+    return worker_slot(("bytes", ranks_file, pattern), lambda: _byte_encoder(ranks_file, pattern))
+
+
+def _byte_encoder(ranks_file: str, pattern: str) -> tuple[Callable[[str], np.ndarray], np.ndarray]:
+    import tiktoken
+
+    with open(ranks_file, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, rank in ranks.items():
+        lengths[rank] = len(token)
+    encoding = tiktoken.Encoding("shelfmark", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return (lambda text: np.array(encoding.encode_ordinary(text), np.int64)), lengths
 
 
 def attribute(text: str, token_bytes: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

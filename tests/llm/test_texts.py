@@ -78,6 +78,48 @@ def test_token_files(spark, sf, odd, none, tmp_path):
     assert token_files.token_file_digests(none, tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("text", ["İ,", "İ.", "é,", "É., x", "ǅ,", "ŉ.", "ß,.", "a\u0301, b", "É\u0327,", "日,", "Σ,", "ΑΣ."])
+def test_words_of_other_letters_and_signs(text):
+    tok = Tokenizer.from_file(tokenizer_path())
+    ids = tok.encode(text, add_special_tokens=False).ids
+    got = token_files.RaggedWords(token_files._Library(tokenizer_path()).encode, 10).batch([text])[0].tolist()
+    assert got == ids and trie_bpe.TrieBpe(tokenizer_path()).encode(text) == ids
+
+
+def test_fuzzed_words():
+    import random
+
+    tok, rng = Tokenizer.from_file(tokenizer_path()), random.Random(2)
+    letters = "abcXYZ'sdtİßéÉñΣς١½Ⅷ日ǅŉ\u0301\u0307,.-!0 19\t\u00a0\u2003"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    words, bpe = token_files.RaggedWords(token_files._Library(tokenizer_path()).encode, 500), trie_bpe.TrieBpe(tokenizer_path())
+    for text, got in zip(texts, words.batch(texts), strict=True):
+        ids = tok.encode(text, add_special_tokens=False).ids
+        assert got.tolist() == ids and bpe.encode(text) == ids, text
+
+
+def test_other_tokenizer_files_are_refused(odd):
+    other = tokenizer_path("byte_bpe_50k.json")
+    for use in (trie_bpe.encode_and_decode, token_files.token_file_digests):
+        with pytest.raises(ValueError, match="pre_tokenizer"):
+            use(odd, other)
+
+
+def test_many_rows_of_one_id_are_spread(spark, tmp_path):
+    rows = [(7, f"text {k % 50}") for k in range(3000)] + [(None, "n")] * 500 + [(k, "x") for k in range(20)]
+    path = str(tmp_path / "hot")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # for so few rows
+    try:
+        token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), path, tokenizer_path())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = token_files.read_token_files(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i))
+    assert [r.start for r in got] == [sum(len(x.ids) for x in got[:k]) for k in range(len(got))][: len(got)]
+    sizes = spark.read.orc(path).groupBy(F.col("_metadata.file_path")).count().collect()
+    assert max(r["count"] for r in sizes) <= len(rows) / 3
+
+
 # Token counts
 
 
@@ -97,6 +139,44 @@ def test_sections(spark, odd, none):
     assert token_counts.section_tokens(none, ranks, pattern).count() == 0
 
 
+def test_sections_against_brute_force(spark, sf):
+    """Each token's characters looked at one by one."""
+    ranks, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encode, lengths = token_counts.byte_encoder(ranks, pattern)
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()} | {-k: t for k, t in enumerate(ODD, 1)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {}
+    for rule in token_counts.RULES:
+        for r in token_counts.section_tokens(df, ranks, pattern, rule).collect():
+            got[rule, r.doc_id, r.section] = r.n_tokens
+    seen = 0
+    for doc, text in docs.items():
+        text = text or ""
+        owner = [k for k, c in enumerate(text) for _ in c.encode()]  # character of each byte
+        begins = [j == 0 or owner[j] != owner[j - 1] for j in range(len(owner))]
+        section, now = [], 0
+        for c in text:
+            section.append(now)
+            now += c == "\n"
+        want = {rule: {} for rule in token_counts.RULES}
+        at = 0
+        for t in encode(text):
+            stop = at + int(lengths[t])
+            chars = [owner[j] for j in range(at, stop) if begins[j]] or [owner[at]]
+            held = {}
+            for c in chars:
+                held[section[c]] = held.get(section[c], 0) + 1
+            for rule, parts in (("first", {section[chars[0]]: 1}), ("most", {max(held, key=lambda k: (held[k], -k)): 1}), ("share", {k: n / len(chars) for k, n in held.items()})):
+                for k, n in parts.items():
+                    want[rule][k] = want[rule].get(k, 0) + n
+            at = stop
+        for rule in token_counts.RULES:
+            for k in range(section[-1] + 1 if section else 1):
+                assert abs(got[rule, doc, k] - want[rule].get(k, 0)) < 1e-6, (rule, doc, k)
+                seen += 1
+    assert seen > 1000
+
+
 def test_crossing_tokens():
     import numpy as np
 
