@@ -240,6 +240,70 @@ def test_article_pages(spark, sf):
         assert got[r.page_id] == " ".join(h.unescape(re.sub(r"<[^>]+>", "", text)).split())
 
 
+def article_text(html):
+    import html as h
+    import re
+
+    inside = re.search(r"<article>(.*)</article>", html, re.S)
+    return " ".join(h.unescape(re.sub(r"<[^>]+>", "", re.sub(r"</?(?:p|h1|br)[^>]*>", " ", inside[1]))).split())
+
+
+def test_ratios_decide(spark, monkeypatch):
+    """Pages whose elements say less and less of themselves: what is left to go by is the ratios of their paths."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want = list(map(article_text, pages))
+    right = lambda change: sum(html_text.main_text(change(p)) == w for p, w in zip(pages, want, strict=True)) / len(pages)
+    div = lambda p: p.replace("<article>", "<div>").replace("</article>", "</div>")
+    plain = lambda p: div(p).replace(' class="ad"', "")
+    bare = lambda p: plain(p).replace("<nav>", "<div>").replace("</nav>", "</div>").replace("<footer>", "<div>").replace("</footer>", "</div>")
+    assert right(lambda p: p) == 1 and right(div) >= 0.98 and right(plain) >= 0.85 and right(bare) >= 0.65
+    for threshold in (-1, 1e9):
+        monkeypatch.setattr(html_text, "THRESHOLD", threshold)
+        assert right(lambda p: p) == 0
+
+
+def test_path_ratios_against_brute_force():
+    page = html_text.Page(ARTICLE)
+    blocks = [b for b in page.blocks if b.linked <= html_text.LINKS * len(b.text)]
+    kernel = [0.02, 0.13, 0.7, 0.13, 0.02]
+
+    def by_path(values):
+        same = [[j for j, c in enumerate(blocks) if (c.path, c.weight) == (b.path, b.weight)] for b in blocks]
+        return [sum(values[j] for j in own) / len(own) for own in same]
+
+    def around(values):
+        out = []
+        for k in range(len(values)):
+            near = [(kernel[2 + d], values[k + d]) for d in range(-2, 3) if 0 <= k + d < len(values)]
+            out.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+        return out
+
+    length = around(by_path([len(b.text) - b.linked for b in blocks]))
+    marks = around([m + 0.1 for m in by_path([sum(c in ".,;:!?" for c in b.text) for b in blocks])])
+    fused = [x * y * b.weight for x, y, b in zip(length, marks, blocks, strict=True)]
+    ratio, mean = html_text.path_ratios(blocks)
+    assert ratio.tolist() == pytest.approx(by_path(fused))
+    weights = [len(b.text) - b.linked + 1 for b in blocks]
+    assert mean == pytest.approx(sum(f * w for f, w in zip(fused, weights, strict=True)) / sum(weights))
+
+
+def test_names_destroy_nothing():
+    body = "".join(f"<p>Sentence {k} of the article, which is long enough, has commas, and ends here.</p>" for k in range(6))
+    for name in ("search-results-page", "article-form-factor", "related-menu widget"):
+        for inner in (f"<article><h1>Head</h1><div class='{name}'>{body}</div></article>", f"<div class='{name}'><h1>Head</h1>{body}</div>", f"<article class='{name}'><h1>Head</h1>{body}</article>"):
+            assert html_text.main_text(f"<body><nav><a>Menu</a></nav>{inner}<footer>End, of all.</footer></body>").count("Sentence") == 6
+    # A link counts however deep in inline elements its text is, and an unnamed nested part of an article is kept.
+    deep = "<a href=x>" + "<b><i>" * 8 + "Read this other story, it is good, and long" + "</i></b>" * 8 + "</a>"
+    page = f"<body><article><h1>Head</h1>{body}<div><p>Short part</p></div><ul><li>{deep}</li></ul></article></body>"
+    assert "other story" not in html_text.main_text(page) and html_text.main_text(page).endswith("Short part")
+
+
+def test_long_page():
+    body = "<p>A sentence, which is one of many.</p>" * 20_000
+    text = html_text.main_text(f"<nav>{'<a>link</a>' * 2000}</nav><div>{body}</div>")
+    assert text.count("sentence") == 20_000 and "link" not in text
+
+
 # Merkle
 
 
