@@ -198,6 +198,7 @@ def test_warc_round_trip(spark, tmp_path):
     got = {r.page_id: r for r in warc.parsed(archive).collect()}
     assert len(got) == 7 and all(r.header_agrees for r in got.values())
     assert [(got[k].record_type, got[k].refers_to) for k in (1, 2, 3, 4, 5, None, 7)] == [("revisit", 2), ("response", None), ("revisit", 4), ("response", None), ("response", None), ("revisit", 2), ("response", None)]
+    assert [got[k].url for k in (1, 3, 4, None)] == ["u1", "", "u\r\nX: y", "u6"]
     assert got[1].payload_digest == base64.b32encode(hashlib.sha1("<p>é</p>".encode()).digest()).decode() and got[1].payload_bytes == 9 and got[3].payload_bytes == 0
     assert spark.read.parquet(f"{path}/payloads").count() == 4
     records = sorted(bytes(r.record) for r in warc.record_bytes(archive).collect())
