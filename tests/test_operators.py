@@ -2,6 +2,7 @@
 
 import decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,20 +33,35 @@ def test_provider_failure_is_no_match(spark):
     assert (row.decision, row.llm_reason) == ("llm_no_match", "error: down")
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [graph.SMALL_GRAPH, 0])
+def test_components(spark, small):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (7, 7), (None, 3)]
-    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(chain, "src int, dst int")).collect()}
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(chain, "src int, dst int"), small=small).collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100}
-    assert graph.connected_components(spark.createDataFrame([], "src int, dst int")).count() == 0
+    assert graph.connected_components(spark.createDataFrame([], "src int, dst int"), small=small).count() == 0
+    named = spark.createDataFrame([("b", "é"), ("a", "é"), ("x", "y")], "src string, dst string")
+    assert sorted(map(tuple, graph.connected_components(named, small=small).collect())) == [("a", "a"), ("b", "a"), ("x", "x"), ("y", "x"), ("é", "a")]
 
 
-def test_merged_components(spark):
+@pytest.mark.parametrize("small", [graph.SMALL_GRAPH, 4, 0])
+def test_merged_components(spark, small):
     of = lambda rows: spark.createDataFrame(rows, "src long, dst long")
     first, more = [(1, 2), (3, 4), (10, 11)], [(4, 9), (2, 9), (20, 21), (11, 30), (0, 30)]
-    got = graph.merge_components(graph.connected_components(of(first)), of(more)).collect()
+    got = graph.merge_components(graph.connected_components(of(first), small=small), of(more), small).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, graph.connected_components(of(first + more)).collect()))
-    assert graph.merge_components(graph.connected_components(of(first)), of([])).count() == 6
-    assert graph.merge_components(graph.connected_components(of([])), of(first)).count() == 6
+    assert graph.merge_components(graph.connected_components(of(first)), of([]), small).count() == 6
+    assert graph.merge_components(graph.connected_components(of([])), of(first), small).count() == 6
+
+
+def test_components_against_union_find():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 0), (50, 30), (300, 200), (300, 400)):
+        u, v = rng.integers(0, n, m), rng.integers(0, n, m)
+        up = list(range(n))
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            x, y = up[a], up[b]
+            up = [min(x, y) if r in (x, y) else r for r in up]
+        assert graph.smallest_reachable(u, v, n).tolist() == up
 
 
 def test_tiles_give_all_pairs(spark, sf):
