@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.frames import TEXT_ROWS, map_arrow, sliced, small_batches
+from shelfmark.llm.frames import TEXT_ROWS, if_small, map_arrow, sliced, small_batches
 from shelfmark.operators.graph import connected_components, merge_components
 from shelfmark.session import cut, stored
 
@@ -48,8 +48,6 @@ TREES, MOST_TREES, DEPTH, STRIDE = 16, 32, 7, 2
 HASHES, SIGMAS = 64, 6.4
 #: Classes in a part of a large node; a tile holds two parts.
 TILE = 1000
-#: A table of ids of at most so many rows may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 SETS_KEPT = 2000
 
 _MASK = (1 << 64) - 1
@@ -138,17 +136,18 @@ def set_key(hashes: np.ndarray) -> bytes:
 
 
 def signed_rows(docs: DataFrame, id_col: str, text_col: str, hashes: int) -> DataFrame:
-    """(id, key, n, sig): each row's set by digest, its size and its signature; null where the set is empty."""
+    """(id, h, key, n, sig): each row's text hash, its set by digest, its size and its signature; null where the set is empty."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("sig", T.ArrayType(T.IntegerType()))])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("h"))
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("h", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("sig", T.ArrayType(T.IntegerType()))])
 
     functions = minwise_functions(hashes)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
         keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s, functions) if len(s) else None for s in sets], pa.list_(pa.int32()))], ["id", "key", "n", "sig"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), keys, pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s, functions) if len(s) else None for s in sets], pa.list_(pa.int32()))], schema.fieldNames())
 
     return map_arrow(rows, each, schema)
 
@@ -219,7 +218,7 @@ class _Sets:
         self.kept: OrderedDict[int, tuple[np.ndarray, bytes]] = OrderedDict()
 
     def get(self, cid: int, text: bytes, key: bytes) -> np.ndarray | None:
-        """None if the text isn't of this class: rows with the same document id may differ."""
+        """None if the text isn't of this class: two texts may have one hash."""
         if (found := self.kept.get(cid)) is None or found[1] != key:
             hashes = shingle_set(text)
             if set_key(hashes) != key:
@@ -231,11 +230,15 @@ class _Sets:
 
 
 def class_texts(cids: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(cid, key, text): the documents that bear the id of one of these distinct classes."""
-    need = cut(cids.join(classes.select("cid", F.col("id").alias("of"), "key"), "cid"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    few = need.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(need) if few else need, F.col("id").eqNullSafe(F.col("of"))).select("cid", "key", "text")
+    """(cid, key, text): a document of each of these distinct classes, found by the class's id and text hash.
+
+    Where an id repeats with one text, each of those rows is found, and one of them is kept.
+    """
+    need = if_small(cut(cids.join(classes.select("cid", F.col("rep.id").alias("of"), F.col("rep.h").alias("of_h"), "key"), "cid")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
+    found = rows.join(need, (F.col("h") == F.col("of_h")) & F.col("id").eqNullSafe(F.col("of")))
+    return found.select("cid", "key", "text").dropDuplicates(["cid"])
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -317,7 +320,7 @@ def tiled(large: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, te
         across = key[1].as_py() != key[2].as_py()
         for batch in table.to_batches(TEXT_ROWS):
             for cid, comp, part, digest, text in zip(*(batch.column(c).to_pylist() for c in ("cid", "comp", "part", "key", "text")), strict=True):
-                # Rows with the same document id may differ: only a text of this class counts.
+                # Two texts may have one hash: only a text of this class counts.
                 if cid not in held and text is not None and set_key(own := shingle_set(text)) == digest:
                     held[cid] = (comp, part, own)
         found = []
@@ -333,7 +336,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     """(id, n_shingles, component_id, kept) of every row; documents are linked at `percent` of Jaccard similarity."""
     plan = Plan.of(percent)
     rows = stored(signed_rows(docs, id_col, text_col, plan.hashes), "signed")
-    by_key = rows.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    by_key = rows.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = stored(by_key.withColumn("cid", F.monotonically_increasing_id()), "classes")
     confirm = lambda pairs: confirmed(likely(pairs, classes, percent, plan.agree), classes, docs, id_col, text_col, percent)
 
