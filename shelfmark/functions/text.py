@@ -57,6 +57,7 @@ PACK_STEPS: list[tuple[str, object, str, object, str]] = [
     (r"^(\d+)$", 1, "each", "1", "box"),
 ]
 
+# Fixed value: how a model number looks.
 SKU = r"[A-Z]{1,6}[-_]?\d[\w\-]{2,}"
 
 

@@ -25,6 +25,7 @@ class Thresholds:
     attribute_penalty: float = 0.40
 
 
+# Units that count pairs, and containers of several.
 PAIR_UNITS, BULK_UNITS = ("pair", "pairs"), ("box", "case", "pack", "bag", "carton")
 
 
@@ -70,6 +71,11 @@ def decision_histogram(decided: DataFrame) -> DataFrame:
     return decided.groupBy("decision").agg(F.count("*").alias("n"))
 
 
+def arbitration_order(pending: DataFrame) -> DataFrame:
+    """Pending pairs as they are asked about: largest score first."""
+    return pending.orderBy(F.col("computed_score").desc(), "id_a", "id_b")
+
+
 def decision_reason(score: Column, cosine: Column, bonus: Column, uom: Column, attribute: Column) -> Column:
     """The text that the decision log gives."""
     flag = lambda c, text: F.when(c, F.lit(text)).otherwise(F.lit(""))

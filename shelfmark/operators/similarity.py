@@ -56,6 +56,26 @@ def blocked_pairs(items: DataFrame, floor: float, tile: int = TILE) -> DataFrame
     return dealt.select("bucket", "i", "j", "id", "source", "part", "embedding").groupBy("bucket", "i", "j").applyInPandas(product, schema).filter(F.col("cosine") >= floor)
 
 
+def pair_count(items: DataFrame, floor: float) -> DataFrame:
+    """One row: how many pairs blocked_pairs has."""
+    return blocked_pairs(items, floor).agg(F.count("*").alias("n"))
+
+
+#: Query rows in one product with a tile: some megabytes of doubles.
+ROWS = 500
+
+
+def best_of(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest similarities of each row with their ids, ties by id. Only what ties with the k-th or is above it is sorted."""
+    if sims.shape[1] > k:
+        least = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k, None]
+        width = int((sims >= least).sum(axis=1).max())
+        keep = np.argpartition(-sims, width - 1, axis=1)[:, :width] if width < sims.shape[1] else np.broadcast_to(np.arange(sims.shape[1]), sims.shape)
+        sims, ids = np.take_along_axis(sims, keep, 1), np.take_along_axis(ids, keep, 1)
+    order = np.lexsort((ids, -sims), axis=1)[:, :k]
+    return np.take_along_axis(sims, order, 1), np.take_along_axis(ids, order, 1)
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERIES) -> DataFrame:
     """(query_id, id, cosine, rank): the k rows of largest cosine to each query, ties by id. Exact.
 
@@ -73,21 +93,23 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERIES) -
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             query_ids, q = shared.value
-            best: dict[str, np.ndarray] | None = None
+            parts: list = [None] * math.ceil(len(query_ids) / ROWS)
             for batch in batches:
                 for at in range(0, batch.num_rows, TILE):
                     piece = batch.slice(at, TILE).to_pandas()
-                    if not len(piece) or not len(query_ids):
+                    if not len(piece):
                         continue
-                    sims = q @ unit_rows(piece["embedding"]).T
-                    own = np.broadcast_to(piece["id"].to_numpy(), sims.shape)
-                    if best is not None:
-                        sims, own = np.concatenate([best["sims"], sims], axis=1), np.concatenate([best["ids"], own], axis=1)
-                    order = np.lexsort((own, -sims), axis=1)[:, :k]
-                    best = {"sims": np.take_along_axis(sims, order, 1), "ids": np.take_along_axis(own, order, 1)}
-            if best is not None:
-                width = best["sims"].shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, width)), pa.array(best["ids"].ravel()), pa.array(best["sims"].ravel())], ["query_id", "id", "cosine"])
+                    tile, own = unit_rows(piece["embedding"]), piece["id"].to_numpy()
+                    for b in range(len(parts)):
+                        sims = q[b * ROWS : (b + 1) * ROWS] @ tile.T
+                        ids = np.broadcast_to(own, sims.shape)
+                        if parts[b] is not None:
+                            sims, ids = np.concatenate([parts[b][0], sims], axis=1), np.concatenate([parts[b][1], ids], axis=1)
+                        parts[b] = best_of(sims, ids, k)
+            for b, found in enumerate(parts):
+                if found is not None:
+                    asked_ids = np.repeat(query_ids[b * ROWS : (b + 1) * ROWS], found[0].shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(asked_ids), pa.array(found[1].ravel()), pa.array(found[0].ravel())], ["query_id", "id", "cosine"])
 
         return rows.select("id", "embedding").filter("embedding IS NOT NULL").mapInArrow(run, "query_id long, id long, cosine double")
 

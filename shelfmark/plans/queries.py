@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text as t
 from shelfmark.operators import evaluate, matching, quoting, similarity, state
-from shelfmark.session import read_table
+from shelfmark.session import cut, read_table
 from shelfmark.sources import catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,7 +115,7 @@ def score_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_scored()} SELECT id_a, id_b, CASE WHEN {_DECIDE.format('score')} = 'pending_llm' THEN 'llm_no_match' ELSE {_DECIDE.format('score')} END AS decision, CASE WHEN {_DECIDE.format('score')} <> 'pending_llm' THEN NULL WHEN uom_conflict THEN 'unit of measure conflict' WHEN attribute_conflict THEN 'attribute conflict' ELSE 'ambiguous' END AS llm_reason FROM s")
 def arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    all_pairs = scored(spark, sf_dir)
+    all_pairs = cut(scored(spark, sf_dir))  # read twice
     decided = matching.arbitrate(all_pairs.filter("decision = 'pending_llm'"))
     return all_pairs.filter("decision <> 'pending_llm'").withColumn("llm_reason", F.lit(None).cast("string")).unionByName(decided).select("id_a", "id_b", "decision", "llm_reason")
 
@@ -156,7 +156,7 @@ def knn_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMED = f"""c AS (SELECT vec_id AS quote_id, {CUSTOMER} AS customer_name, vec_id % 28 AS quote_date FROM embeddings),
-a AS (SELECT vec_id AS request_id, lower(array_to_string(list_slice(string_split({CUSTOMER}, ' '), 1, 3), ' ')) AS f FROM embeddings WHERE vec_id % 100 = 0),
+a AS (SELECT vec_id AS request_id, CASE WHEN vec_id % 200 = 0 THEN substr(f, 3, 8) ELSE f END AS f FROM (SELECT vec_id, lower(array_to_string(list_slice(string_split({CUSTOMER}, ' '), 1, 3), ' ')) AS f FROM embeddings WHERE vec_id % 100 = 0)),
 m AS (SELECT request_id, quote_id, row_number() OVER (PARTITION BY request_id ORDER BY quote_date DESC, quote_id) AS rank FROM a JOIN c ON contains(lower(customer_name), f))"""
 
 
@@ -165,7 +165,8 @@ def knn_union_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     asked = rows.filter("id % 100 = 0")
     near = similarity.nearest(asked, rows, 3).select(F.col("query_id").alias("request_id"), F.col("id").alias("quote_id"), F.col("cosine").alias("similarity"), "rank")
-    wanted = asked.select(F.col("id").alias("request_id"), t.customer_fragment(F.col("customer_name")).alias("fragment"))
+    fragment = t.customer_fragment(F.col("customer_name"))
+    wanted = asked.select(F.col("id").alias("request_id"), F.when(F.col("id") % 200 == 0, F.substring(fragment, 3, 8)).otherwise(fragment).alias("fragment"))  # half of them cut words
     named = quoting.name_matches(wanted, rows.select(F.col("id").alias("quote_id"), "customer_name", "quote_date"), F.col("fragment"))
     exact = named.select("request_id", "quote_id", F.lit(None).cast("double").alias("similarity"), "rank")
     return quoting.retrieved_quotes(near, exact).select("request_id", "quote_id", "match_type")
@@ -189,7 +190,7 @@ def match_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 b AS (SELECT component, node AS canonical FROM o WHERE n = 1)
 SELECT g.component AS product_id, g.node AS item_id, canonical, CASE WHEN g.node = canonical THEN 1.0 ELSE coalesce((SELECT CASE WHEN p.cosine >= 0.35 THEN CAST(round(CAST(p.cosine AS DECIMAL(20,15)), 3) AS DOUBLE) ELSE 0.8 END FROM p WHERE p.id_a = least(g.node, canonical) AND p.id_b = greatest(g.node, canonical) AND p.cosine >= {LINK}), 0.75) END AS confidence FROM g JOIN b USING (component)""")
 def canonical_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = pairs(spark, sf_dir).filter(F.col("cosine") >= LINK).withColumns({"decision": F.when(F.col("cosine") >= 0.35, "auto_match").otherwise("llm_match"), "computed_score": F.col("cosine")})
+    links = cut(pairs(spark, sf_dir).filter(F.col("cosine") >= LINK).withColumns({"decision": F.when(F.col("cosine") >= 0.35, "auto_match").otherwise("llm_match"), "computed_score": F.col("cosine")}))  # read twice
     return matching.clusters(items(spark, sf_dir).select("id", "source", "name"), links, F.col("source"))
 
 
@@ -262,7 +263,7 @@ def reason_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir, REASON).select("p_partkey", t.reason_category(F.col("x")).alias("category"), t.candidate_names(F.col("x")).alias("names"))
 
 
-@query()
+@query(rf"WITH b AS (SELECT vec_id AS id, {NAME} AS name FROM embeddings) SELECT id, upper(regexp_extract(name, '\b([A-Z]{{1,6}}[-_]?\d[\w\-]{{2,}})\b', 1)) AS sku, list_distinct(regexp_extract_all(upper(name), '[A-Z]{{1,6}}[-_]?\d[\w\-]{{2,}}')) AS skus FROM b")
 def sku_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select("id", t.sku_token(F.col("name")).alias("sku"), t.sku_tokens(F.col("name")).alias("skus"))
 
@@ -359,13 +360,16 @@ def page_fallback_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", catalog.needs_render(F.col("html")).alias("needs_render"))
 
 
-@query()
+_PLAIN = "replace(replace(replace(replace({0}, '&lt;', '<'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+@query("SELECT page_id, trim(" + _PLAIN.format("regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), '<[^>]*>', '', 'g')") + ") AS name, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS VARCHAR) AS sku, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS pack FROM pages")
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = catalog.page_fields()(F.col("html"))
     return read_table(spark, sf_dir, "pages").select("page_id", fields.alias("f")).select("page_id", "f.*")
 
 
-@query()
+@query("SELECT page_id, regexp_replace(array_to_string(list_filter(string_split(" + _PLAIN.format("regexp_replace(html, '<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', chr(1), 'gs')") + ", chr(1)), lambda x: regexp_matches(x, '\\S')), ' '), '^\\s+|\\s+$', '', 'g') AS text FROM pages")
 def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", catalog.strip_html(F.col("html")).alias("text"))
 
@@ -373,20 +377,6 @@ def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Quoting
 
 
-def resolution_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = items(spark, sf_dir)
-    asked = rows.filter("id % 100 = 0")
-    near = similarity.nearest(asked, rows, 5)
-    candidates = near.join(rows.select("id", "name", "manufacturer"), "id").select(F.col("query_id").alias("request_id"), "rank", "id", "name", "manufacturer", F.col("cosine").alias("similarity"))
-    requests = asked.selectExpr("id AS request_id", "CASE id % 400 WHEN 0 THEN 'Medline exam gloves' WHEN 100 THEN 'glove' WHEN 200 THEN 'Adenna gloves' ELSE 'nitrile glove AB1007' END AS description", "CASE id % 300 WHEN 0 THEN 'medium' WHEN 100 THEN '' ELSE 'XL' END AS size", "CAST(array() AS array<string>) AS attributes", "CAST(NULL AS string) AS email")
-    return requests, candidates
-
-
-@query()
-def resolution_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quoting.resolve(*resolution_inputs(spark, sf_dir), 0.3, 0.2)
-
-
 _ANOMALY = "q AS (SELECT p_partkey AS id, concat(p_name, CASE WHEN p_partkey % 10 = 0 THEN ' Simulator' ELSE '' END) AS name, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN p_retailprice / 20 ELSE p_retailprice END AS price, p_retailprice AS seen FROM part)"
 
 
@@ -456,11 +446,11 @@ def score_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY decision ORDER BY CASE WHEN decision = 'llm_no_match' THEN cosine END DESC, CASE WHEN decision = 'auto_reject' THEN md5(concat('42|', id_a, '|', id_b)) END, id_a, id_b) AS n FROM d)
 SELECT id_a, id_b, CASE WHEN decision = 'auto_match' THEN 'match' ELSE 'no_match' END AS predicted_label FROM r WHERE decision = 'auto_match' OR (decision = 'llm_no_match' AND n <= 30) OR (decision = 'auto_reject' AND n <= 25)""")
 def eval_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = pairs(spark, sf_dir).withColumn("decision", F.expr("CASE WHEN cosine >= 0.35 THEN 'auto_match' WHEN cosine <= 0.27 THEN 'auto_reject' ELSE 'llm_no_match' END"))
+    decided = cut(pairs(spark, sf_dir).withColumn("decision", F.expr("CASE WHEN cosine >= 0.35 THEN 'auto_match' WHEN cosine <= 0.27 THEN 'auto_reject' ELSE 'llm_no_match' END")))  # read for each stratum
     return matching.eval_sample(decided, no_match=30).select("id_a", "id_b", "predicted_label")
 
 
-@query()
+@query("SELECT source, doc_id, sha256(text) AS content_hash FROM documents")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfmark.session import scratch_path
     from shelfmark.streaming.ingest import ingest

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from shelfmark.functions.text import content_hash, strip, variant_pack
+from shelfmark.functions.text import content_hash, pack_split, strip, variant_pack
+from shelfmark.session import cut
 
 PRODUCT = T.ArrayType(
     T.StructType(
@@ -42,17 +46,29 @@ def cache_key(url: Column, params: Column | None = None) -> Column:
     """SHA-256 of a url with its parameters (a map) in order."""
     if params is None:
         return F.sha2(url, 256)
-    pairs = F.array_join(F.array_sort(F.transform(F.map_entries(params), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "&")
+    in_order = F.array_sort(F.map_entries(params))  # by key: keys of a map differ
+    pairs = F.array_join(F.transform(in_order, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "&")
     return F.sha2(F.when(F.size(params) > 0, F.concat(url, F.lit("?"), pairs)).otherwise(url), 256)
 
 
+#: Cached files that are read by their names; where more are wanted, the whole cache is read.
+MOST_PATHS = 10_000
+
+
 def cached(spark: SparkSession, root: str, urls: DataFrame, extension: str = "html") -> DataFrame:
-    """(source, url, content): each url's cached response, null where there is none. urls has source and url."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{extension}").load(root)
-    name = F.regexp_extract("path", rf"([^/]+)/([0-9a-f]{{64}})\.{extension}$", 2)
-    source = F.regexp_extract("path", rf"([^/]+)/([0-9a-f]{{64}})\.{extension}$", 1)
-    keyed = files.select(source.alias("source"), name.alias("key"), "content")
-    return urls.withColumn("key", cache_key(F.col("url"))).join(keyed, ["source", "key"], "left").drop("key")
+    """(source, url, content): each url's cached response, null where there is none. urls has source and url.
+
+    File names are listed first, without content, and met with the urls; only files that are wanted are then read.
+    """
+    of = lambda k: F.regexp_extract("path", rf"([^/]+)/([0-9a-f]{{64}})\.{extension}$", k)
+    files = lambda *paths: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{extension}").load(list(paths) or root)
+    keyed = urls.withColumn("key", cache_key(F.col("url")))
+    wanted = keyed.select("source", "key").distinct()
+    found = [r.path for r in files().select(of(1).alias("source"), of(2).alias("key"), "path").join(wanted, ["source", "key"], "left_semi").limit(MOST_PATHS + 1).select("path").collect()]
+    if not found:
+        return keyed.withColumn("content", F.lit(None).cast("binary")).drop("key")
+    read = files(*found) if len(found) <= MOST_PATHS else files()
+    return keyed.join(read.select(of(1).alias("source"), of(2).alias("key"), "content"), ["source", "key"], "left").drop("key")
 
 
 def listing_url(path: Column, page: Column, style: str) -> Column:
@@ -68,11 +84,23 @@ def first_seen(links: DataFrame) -> DataFrame:
 
 
 def stop_pages(links: DataFrame, most: int) -> DataFrame:
-    """(listing, stop_page): the first page without an url that is new, or the most pages."""
-    seen = first_seen(links).groupBy("listing", "page").agg(F.count("*").alias("fresh"))
-    pages = links.select("listing", "page").distinct().join(seen, ["listing", "page"], "left")
-    stop = F.min(F.when(F.col("fresh").isNull(), F.col("page")))
-    return pages.groupBy("listing").agg(F.coalesce(stop, F.lit(most)).alias("stop_page"))
+    """(listing, stop_page): the first page without an url that is new to the crawl, or the most pages.
+
+    Listings are crawled in order and pages after a stop aren't fetched, so their urls stay new for later listings. Starting from
+    all pages, each round counts what is new given the stops so far; after n rounds the first n listings are right, and a round without change ends it.
+    """
+    once = cut(links.filter(F.col("page") <= most).groupBy("listing", "url").agg(F.min("page").alias("page")))
+    pages = cut(links.filter(F.col("page") <= most).select("listing", "page").distinct())
+    stops = pages.select("listing").distinct().withColumn("stop_page", F.lit(most))
+    while True:
+        fetched = once.join(stops, "listing").filter("page <= stop_page")
+        earliest = fetched.groupBy("url").agg(F.min("listing").alias("known_in"))
+        fresh = once.join(earliest, "url", "left").filter("known_in IS NULL OR known_in >= listing").select("listing", "page").distinct()
+        stale = pages.join(fresh, ["listing", "page"], "left_anti").groupBy("listing").agg(F.min("page").alias("stale"))
+        found = cut(stops.join(stale, "listing", "left").select("listing", F.coalesce("stale", F.lit(most)).alias("stop_page"), F.col("stop_page").alias("was")))
+        stops = found.select("listing", "stop_page")
+        if not found.filter("was <> stop_page").limit(1).count():
+            return stops
 
 
 def product_link(url: Column, site: str, host: str = "", section: str = "international", blocked: list[str] = ()) -> Column:
@@ -106,6 +134,27 @@ def needs_render(html: Column, name_selector: str | None = None, price_selector:
     return challenged | ~matches_any(name_selector or "", price_selector or "")(html)
 
 
+def collection_products(pages: DataFrame, slugs: list[str], most: int = 2) -> DataFrame:
+    """(position, slug, page, ordinal, product fields) of cached pages of product JSON; pages has slug, page and content as text.
+
+    A collection ends at its first page that is missing, broken or empty, and after `most` pages. position numbers rows in the order of the crawl:
+    collections as listed, then pages, then products; other collections aren't read.
+    """
+    listed = F.array_position(F.lit(slugs), F.col("slug"))
+    parsed = pages.filter((F.col("page") <= most) & (listed > 0)).select(listed.alias("_at"), "slug", "page", F.from_json(F.col("content"), T.StructType([T.StructField("products", PRODUCT)]))["products"].alias("products"))
+    good = parsed.filter(F.size("products") > 0)
+    # Pages up to the first gap: as many good ones before a page as its number says.
+    whole = good.withColumn("_n", F.row_number().over(Window.partitionBy("slug").orderBy("page"))).filter("_n = page")
+    rows = whole.select("_at", "slug", "page", F.posexplode("products").alias("ordinal", "p"))
+    return rows.select(F.struct("_at", "page", "ordinal").alias("position"), "slug", "page", "ordinal", "p.*")
+
+
+def last_upserts(rows: DataFrame, key: str = "handle") -> DataFrame:
+    """One row for each key: a product of several collections is what the last of them says."""
+    rest = [c for c in rows.columns if c not in (key, "position")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "position").alias("r")).select(key, "r.*")
+
+
 def products(spark: SparkSession, path: str) -> DataFrame:
     """(slug, ordinal, product fields) of cached product JSON; broken files give no rows. The slug is the file's folder."""
     pages = spark.read.schema(T.StructType([T.StructField("products", PRODUCT)])).option("multiLine", "true").json(path).select("products", F.col("_metadata.file_path").alias("file"))
@@ -129,7 +178,7 @@ def quotes(spark: SparkSession, path: str) -> DataFrame:
 
 def emails(spark: SparkSession, path: str) -> DataFrame:
     """(file, text): each file as one text."""
-    return spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
 
 def labelled_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -185,6 +234,11 @@ class Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.at.parts.append(data)
 
+    def select_all(self, selector: str) -> list[Node]:
+        """All elements that any of the comma-separated selectors matches, in order; unknown syntax matches nothing."""
+        chains = [c for s in selector.split(",") if (c := parse_selector(s))]
+        return [n for n in self.nodes if any(matches(n, c) for c in chains)]
+
     def select(self, selector: str) -> Node | None:
         """The first element that any of the comma-separated selectors matches; unknown syntax matches nothing."""
         chains = [parse_selector(s) for s in selector.split(",")]
@@ -261,7 +315,44 @@ def matches_any(*selectors: str):
 
     @F.pandas_udf(T.BooleanType())
     def run(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda p: any(s and Tree(p or "").select(s) is not None for s in selectors))
+        def one(page: str | None) -> bool:
+            tree = Tree(page or "")
+            return any(s and tree.select(s) is not None for s in selectors)
+
+        return pages.map(one)
+
+    return run
+
+
+def listing_links(site: str, base: str, selector: str | None = None, hosts: tuple[str, ...] = (), section: str = "international", blocked: tuple[str, ...] = ()):
+    """A function from a listing page's html to the product urls on it, absolute, in order and once each.
+
+    `htm`: what the selector's anchors link to, else links of the hosts whose path ends in .htm. `section`: links of the selector's anchors,
+    else of anchors in product items, to a host that contains the first one and a path of two segments of which the first is `section`. `code`: what the selector's
+    anchors link to, else links of the hosts whose path has -a- and digits; never a link that holds a blocked text. A page is a tree, so it is parsed in
+    Python, row by row within Arrow batches.
+    """
+
+    def ours(full: str) -> bool:
+        parts = urlsplit(full)
+        if site == "section":
+            segments = [x for x in parts.path.split("/") if x]
+            return hosts[0] in parts.netloc and len(segments) == 2 and segments[0] == section
+        return parts.netloc in hosts and (parts.path.endswith(".htm") if site == "htm" else re.search(r"-a-\d+", parts.path) is not None)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(pages: pd.Series) -> pd.Series:
+        def one(page: str | None) -> list[str]:
+            tree = Tree(page or "")
+            href = lambda nodes: [urljoin(base, n.attributes["href"]) for n in nodes if n.attributes.get("href")]
+            picked = tree.select_all(selector) if selector else []
+            if site == "section":
+                found = [u for u in href(picked or tree.select_all(".product-item a[href]")) if ours(u)]
+            else:
+                found = href(picked) or [u for u in href(tree.select_all("a[href]")) if ours(u)]
+            return [u for u in dict.fromkeys(found) if not any(b in u.lower() for b in blocked)]
+
+        return pages.map(one)
 
     return run
 
@@ -271,6 +362,7 @@ NAMES = ["h1.product-title", "h1.product_title", "h1[itemprop='name']", ".produc
 PRICES = [".product-info-main [itemprop='price']", ".product-info-main .price", "[itemprop='price']", ".product-price", ".woocommerce-Price-amount", ".price-box .price", "span.amount"]
 SKUS = ["[itemprop='sku']", ".sku", ".product-sku", ".sku-wrapper"]
 DESCRIPTIONS = ["[itemprop='description']", ".product-description", ".woocommerce-product-details__short-description", "#product-description", ".description"]
+# Fixed value: how a number stands in a price text.
 NUMBER = re.compile(r"\d{1,3}(?:[,\s]\d{3})*(?:\.\d+)?|\d+(?:\.\d+)?")
 
 
@@ -321,16 +413,101 @@ def page_fields(selectors: dict[str, str | None] | None = None):
     return run
 
 
+def page_items(pages: DataFrame, source: str, selectors: dict[str, str | None] | None = None) -> DataFrame:
+    """Product pages as source items; pages has url, html and category. A page without a name is none; a missing price is allowed.
+
+    The hash is over name, description, price with four decimals, pack quantity, category and no manufacturer.
+    """
+    clean = lambda c: F.nullif(strip(c), F.lit(""))
+    read = pages.select("url", F.coalesce("category", F.lit("")).alias("category"), page_fields(selectors)(F.col("html")).alias("f")).select("url", "category", "f.*").filter("name IS NOT NULL")
+    split = read.withColumn("p", pack_split(F.col("pack")))
+    qty, unit = F.coalesce(F.col("p.qty"), F.lit("")), F.coalesce(F.col("p.unit"), F.lit(""))
+    price = F.when(F.col("price").isNotNull(), F.format_string("%.4f", F.col("price"))).otherwise(F.lit(""))
+    hashed = content_hash(F.col("name"), F.col("description"), price, qty, F.col("category"), F.lit(""))
+    return split.select(
+        F.lit(source).alias("source"), F.col("url").alias("source_url"), clean(F.col("sku")).alias("source_sku"), strip(F.col("name")).alias("raw_name"), clean(F.col("description")).alias("raw_description"),
+        F.col("price").cast("string").alias("raw_price"), F.nullif(F.concat_ws(" ", F.nullif(qty, F.lit("")), F.nullif(unit, F.lit(""))), F.lit("")).alias("raw_pack_info"), F.nullif("category", F.lit("")).alias("raw_category"), F.lit(None).cast("string").alias("raw_manufacturer"), hashed.alias("content_hash"),
+    )
+
+
+# The keys of an extraction schema.
+SELECTORS = ["name_selector", "price_selector", "sku_selector", "description_selector", "pack_size_selector", "uom_selector", "product_link_selector", "notes"]
+SELECTOR_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in SELECTORS])
+
+
+def extraction_schemas(samples: DataFrame, known: DataFrame, provider: Callable[[str, str | None], str] | None = None, force: bool = False) -> DataFrame:
+    """(source, schema, origin): the selectors of each source, from the cache, discovered on a sample page, or the empty default.
+
+    samples has source and html, one page for each source; known has source and content, the cached JSON, where broken JSON is a miss. The
+    provider gets the page and its own earlier reply, null at first; a reply that isn't JSON is asked for once more. force skips the cache.
+    """
+    in_cache = known.select("source", F.from_json("content", SELECTOR_SCHEMA, {"mode": "PERMISSIVE"}).alias("cached"), F.get_json_object("content", "$").isNotNull().alias("valid"))
+    asked = samples.select("source", "html").join(in_cache, "source", "left").withColumn("use", F.coalesce("valid", F.lit(False)) & F.lit(not force))
+
+    @F.pandas_udf(T.StringType())
+    def discover(pages: pd.Series) -> pd.Series:
+        def one(page: str | None) -> str | None:
+            reply = None
+            for _ in range(2):
+                try:
+                    reply = provider(page or "", reply)
+                except Exception:  # a provider that fails leaves the default, as documented
+                    return None
+                try:
+                    if isinstance(json.loads(reply), dict):
+                        return reply
+                except (ValueError, TypeError):
+                    continue
+            return None
+
+        return pages.map(one)
+
+    fresh = F.from_json(discover(F.col("html")), SELECTOR_SCHEMA) if provider is not None else F.lit(None).cast(SELECTOR_SCHEMA)
+    found = asked.filter(~F.col("use")).select("source", fresh.alias("schema"), F.lit("discovered").alias("origin"))
+    none = F.struct(*[F.lit(None).cast("string").alias(c) for c in SELECTORS])
+    settled = found.select("source", F.coalesce("schema", none).alias("schema"), F.when(F.col("schema").isNull(), "default").otherwise(F.col("origin")).alias("origin"))
+    return asked.filter("use").select("source", F.col("cached").alias("schema"), F.lit("cache").alias("origin")).unionByName(settled)
+
+
+def schema_json(schema: Column) -> Column:
+    """The cached form of an extraction schema."""
+    return F.to_json(schema)
+
+
+def write_texts(texts: DataFrame, column: str, path: str) -> None:
+    """Texts as files of lines."""
+    texts.select(column).write.mode("overwrite").option("lineSep", "\n").text(path)
+
+
 def write_log(decided: DataFrame, path: str) -> None:
     """The decision log as lines of JSON."""
     decided.write.mode("append").json(path)
 
 
-def write_sample(sample: DataFrame, path: str) -> None:
-    """The sample to label, with an empty human_label."""
-    sample.withColumn("human_label", F.lit("")).write.mode("overwrite").option("header", "true").csv(path)
+#: Columns of the sample to label.
+SAMPLE_COLUMNS = [
+    "pair_id", "item_a_id", "item_b_id", "source_a", "source_b", "name_a", "name_b", "url_a", "url_b", "pack_a", "pack_b", "category_bucket", "cosine_sim", "computed_score",
+    "manufacturer_bonus", "uom_conflict", "attribute_conflict", "predicted_label", "llm_reason", "human_label",
+]
+
+
+def sample_rows(sample: DataFrame, items: DataFrame) -> DataFrame:
+    """The twenty columns of a sample to label, human_label empty; items has id, source, name, url and pack."""
+    side = lambda x: items.select(F.col("id").alias(f"item_{x}_id"), *[F.col(c).alias(f"{c}_{x}") for c in ("source", "name", "url", "pack")])
+    rows = sample.withColumnsRenamed({"id_a": "item_a_id", "id_b": "item_b_id", "bucket": "category_bucket", "cosine": "cosine_sim"}).join(side("a"), "item_a_id").join(side("b"), "item_b_id")
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return rows.withColumn("human_label", F.lit("")).select(*[blank(c) if c in ("pack_a", "pack_b", "llm_reason") else c for c in SAMPLE_COLUMNS])
+
+
+def write_sample(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("header", "true").csv(path)
 
 
 def in_order(rows: DataFrame, *keys: str) -> DataFrame:
-    """A total order with its number, for reads that need one: only of bounded tables."""
-    return rows.withColumn("n", F.row_number().over(Window.orderBy(*keys)))
+    """A total order with its number n from 1: sorted by ranges, and numbered by partition from the counts of those before."""
+    placed = cut(rows.orderBy(*keys).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
+    # One row for each partition.
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(starts), "_part").withColumn("n", F.col("_before") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_row", "_before", "_rows")

@@ -40,11 +40,11 @@ def test_variant_pack(spark):
 
 
 def test_sku(spark):
-    assert column(spark, ["arm LF00698U new", "see QUOTE-100327", "part 747113 ok", "none"], t.sku_token) == ["LF00698U", "QUOTE-100327", "747113", None]
+    assert column(spark, ["arm KX20417Q new", "see DRAFT-200451", "part 880214 ok", "none"], t.sku_token) == ["KX20417Q", "DRAFT-200451", "880214", None]
 
 
 def test_line_prices(spark):
-    assert column(spark, ["2. X — qty 3 @ $1,296.95 = $3,890.85", "was $10.00 now $8.50", "none"], t.line_prices) == [[1296.95], [10.0, 8.5], []]
+    assert column(spark, ["2. X — qty 3 @ $1,402.50 = $4,207.50", "was $10.00 now $8.50", "none"], t.line_prices) == [[1402.5], [10.0, 8.5], []]
 
 
 def test_reasons(spark):
