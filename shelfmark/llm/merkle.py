@@ -7,12 +7,15 @@ digests that two trees don't share locate the edits, and the share of leaf diges
 
 Defined results: null text counts as empty, whose tree has one empty leaf; every row is kept. Among documents a repeated
 document id is ordered by text, so that each row has one next row; with one row, the next document is itself. Rows with
-null ids come last. An empty table gives no rows; other columns are ignored.
+null ids come last. An id of so many rows that they would fill a task, null among them, is ordered by a hash of the text instead, and its rows
+with one text are worked on as one. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,9 +25,10 @@ from shelfmark.llm.frames import two_columns
 from shelfmark.session import cut
 
 BLOCK = 64
-#: Rows that one range of document ids holds, about.
+#: Rows that one range of document ids holds, about; ranges at most, which grow beyond so many times their product; ranges that an id fills to be split.
 RANGE_ROWS = 2000
 MOST_RANGES = 1 << 16
+HOT_RANGES = 4
 
 
 def leaf_digests(text: Column) -> Column:
@@ -71,57 +75,94 @@ def differing_paragraphs(old: DataFrame, new: DataFrame, id_col: str = "doc_id")
     return a.join(b, id_col).filter("a.root <> b.root").select(id_col, only("a", "b").alias("removed"), only("b", "a").alias("added"))
 
 
-def in_ranges(ids: DataFrame, range_rows: int = RANGE_ROWS) -> tuple[Column, int]:
-    """A number for the range of ids that a row's id is in, ranges of about equal row counts; and how many."""
-    counted = ids.agg(F.count("*").alias("n")).first().n
-    n = min(MOST_RANGES, max(1, math.ceil(counted / range_rows)))
-    if n == 1:
-        return F.lit(0), 1
-    shares = [k / n for k in range(1, n)]
-    bounds = sorted(set(ids.agg(F.percentile_approx("id", shares, 100 * n if n <= 1000 else 4 * n).alias("b")).first().b or []))
-    # Two steps, so that a row is compared with few of the bounds.
-    step = max(1, math.isqrt(len(bounds)))
-    groups = [bounds[k : k + step] for k in range(0, len(bounds), step)]
-    above = lambda x: F.coalesce(F.col("id") >= x, F.lit(False))
-    group = F.size(F.filter(F.lit([g[0] for g in groups]), above))
-    inner = F.get(F.lit([g + [g[-1]] * (step - len(g)) for g in groups]), F.greatest(group - 1, F.lit(0)))
-    # A short last group is filled up with its last bound, so what lies above that counts a few more: still in order.
-    return F.when(group == 0, 0).otherwise((group - 1) * step + F.size(F.filter(inner, above))), len(bounds) + 1
+@dataclass(frozen=True)
+class Ranges:
+    """Ranges of ids of about equal row counts: the lower bounds of all but the first, and the ids (None: null) that fill several, with into how many parts."""
+
+    bounds: list
+    hot: dict
+
+    @classmethod
+    def of(cls, ids: DataFrame, range_rows: int = RANGE_ROWS) -> Ranges:
+        counted = ids.agg(F.count("*").alias("n"), F.count("id").alias("known")).first()
+        n = min(MOST_RANGES, max(1, math.ceil(counted.n / range_rows)))
+        size = counted.n / n
+        empty = counted.n - counted.known
+        hot = {None: math.ceil(empty / size)} if empty > HOT_RANGES * size else {}
+        if n == 1 or not counted.known:
+            return cls([], hot)
+        k = max(1, math.ceil(counted.known / size))
+        found = ids.agg(F.percentile_approx("id", [j / k for j in range(1, k)] or [0.5], 100 * k if k <= 1000 else 4 * k).alias("b")).first().b or []
+        # An id that fills ranges is the bound of each of them.
+        hot |= {b: c + 1 for b, c in Counter(found).items() if c >= HOT_RANGES}
+        return cls(sorted(set(found)), hot)
+
+    def number(self) -> Column:
+        """The number of the range that a row's id is in; null ids are in the lowest."""
+        if not self.bounds:
+            return F.lit(0)
+        # Two steps, so that a row is compared with few of the bounds.
+        step = max(1, math.isqrt(len(self.bounds)))
+        groups = [self.bounds[k : k + step] for k in range(0, len(self.bounds), step)]
+        above = lambda x: F.coalesce(F.col("id") >= x, F.lit(False))
+        group = F.size(F.filter(F.lit([g[0] for g in groups]), above))
+        inner = F.get(F.lit([g + [g[-1]] * (step - len(g)) for g in groups]), F.greatest(group - 1, F.lit(0)))
+        # A short last group is filled up with its last bound, so what lies above that counts a few more: still in order.
+        return F.when(group == 0, 0).otherwise((group - 1) * step + F.size(F.filter(inner, above)))
+
+    def parts(self) -> Column:
+        """Into how many parts the rows of a row's id are dealt; null if it isn't hot."""
+        found = F.lit(None).cast("int")
+        for i, m in self.hot.items():
+            found = F.when(F.col("id").isNull() if i is None else F.col("id") == i, m).otherwise(found)
+        return found
 
 
 def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Fingerprints of each text, of its edit by the next document, and their likeness; see the contract in queries.
 
     Rows are dealt out by ranges of ids. The first row of each range is dealt to the range above as well, as a ghost,
-    so the next row is always found within a range and no task sees the whole table.
+    so the next row is always found within a range and no task sees the whole table. A hot id is the lowest of its range; its rows come after the
+    others of the range, in parts by a hash of the text, once for each text with the number of copies.
     """
     rows = two_columns(docs, id_col, text_col)
-    ids = rows.select("id")
-    bucket, _ = in_ranges(ids, range_rows)
-    heads = cut(ids.groupBy(bucket.alias("range")).agg(F.max("id").alias("head")))
-    # One row for each range: small, so one task may order them. Below the lowest range comes the highest.
-    around = Window.orderBy("range")
-    ghosts = heads.select("range", "head", F.coalesce(F.lead("range").over(around), F.min("range").over(around)).alias("above"))
-    own, ghost = F.struct(F.col("range").alias("range"), F.lit(0).alias("ghost")), F.struct(F.col("above").alias("range"), F.lit(1).alias("ghost"))
-    is_head = F.coalesce(F.col("id") == F.col("head"), F.col("head").isNull())
+    ranges = Ranges.of(rows.select("id"), range_rows)
+    hash_ = F.xxhash64("text")
+    placed = rows.select("id", ranges.number().alias("range"), ranges.parts().alias("parts"), hash_.alias("h"), "text")
+    part = F.coalesce(1 + F.pmod("h", "parts"), F.lit(0)).cast("int")
+    if ranges.hot:
+        cold = placed.filter("parts IS NULL").select("id", "range", F.lit(0).alias("part"), "h", "text", F.lit(1).cast("long").alias("copies"))
+        once = placed.filter("parts IS NOT NULL").groupBy("id", "range", part.alias("part"), "h", "text").agg(F.count("*").alias("copies"))
+        placed = cold.unionByName(once)
+    else:
+        placed = placed.select("id", "range", F.lit(0).alias("part"), F.lit(0).cast("long").alias("h"), "text", F.lit(1).cast("long").alias("copies"))
+    keys = placed.select("id", "range", "part", "h") if ranges.hot else rows.select("id", ranges.number().alias("range"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("h"))
+    heads = cut(keys.groupBy("range", "part").agg(F.max("id").alias("head"), F.min("h").alias("head_h")))
+    # One row for each range: small, so one task may order them. Below the lowest comes the highest.
+    down = Window.orderBy(F.col("range").desc(), F.col("part"))
+    unit = F.struct("range", "part")
+    ghosts = heads.select("range", "part", "head", "head_h", F.coalesce(F.lag(unit).over(down), F.last(unit).over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("above"))
+    own, ghost = F.struct(F.col("range").alias("range"), F.col("part").alias("part"), F.lit(0).alias("ghost")), F.struct(F.col("above.range").alias("range"), F.col("above.part").alias("part"), F.lit(1).alias("ghost"))
+    is_head = F.when(F.col("part") > 0, F.col("h") == F.col("head_h")).otherwise(F.coalesce(F.col("id") == F.col("head"), F.col("head").isNull()))
     dealt = (
-        rows.withColumn("range", bucket)
-        .join(F.broadcast(ghosts), "range")
-        .select("id", "text", F.explode(F.when(is_head, F.array(own, ghost)).otherwise(F.array(own))).alias("at"))
-        .select("id", "text", F.col("at.range").alias("range"), F.col("at.ghost").alias("ghost"))
-        .repartition("range")
+        placed.join(F.broadcast(ghosts), ["range", "part"])
+        .select("id", "text", "h", "copies", F.explode(F.when(is_head, F.array(own, ghost)).otherwise(F.array(own))).alias("at"))
+        .select("id", "text", "h", "copies", "at.*")
+        .repartition("range", "part")
         .withColumn("leaves", leaf_digests(F.col("text")))
     )
-    order = Window.partitionBy("range").orderBy("ghost", F.col("id").desc_nulls_last(), "text")
+    order = Window.partitionBy("range", "part").orderBy("ghost", F.col("id").desc_nulls_last(), "h", "text")
+    found = dealt.withColumns({"next_text": F.lead("text").over(order), "next_leaves": F.lead("leaves").over(order)}).filter("ghost = 0")
+    if ranges.hot:
+        # Of several copies all but the last are followed by their own text.
+        last, others = F.struct(F.lit(False).alias("self"), F.lit(1).cast("long").alias("times")), F.struct(F.lit(True).alias("self"), (F.col("copies") - 1).alias("times"))
+        found = found.withColumn("kind", F.explode(F.when(F.col("copies") > 1, F.array(last, others)).otherwise(F.array(last))))
+        follows = lambda c: F.when(F.col("kind.self"), F.col(c)).otherwise(F.col(f"next_{c}")).alias(f"next_{c}")
+        found = found.select("id", "text", "leaves", follows("text"), follows("leaves"), F.col("kind.times").alias("times"))
     third = F.floor(F.col("n") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - third), F.substring(F.col("next_text"), F.lit(1), third))
-    found = (
-        dealt.withColumns({"next_text": F.lead("text").over(order), "next_leaves": F.lead("leaves").over(order)})
-        .filter("ghost = 0")
-        .withColumn("n", F.length("text"))
-        .withColumn("edited", edited)
-    )
-    return found.select(
+    made = found.withColumn("n", F.length("text")).withColumn("edited", edited)
+    out = made.select(
         F.col("id").alias(id_col),
         F.col("n").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
@@ -129,4 +170,10 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         root(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("leaves"), leaf_digests(F.col("edited"))).alias("near_edited"),
         likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
+        *([F.col("times").alias("_times")] if ranges.hot else []),
     )
+    if not ranges.hot:
+        return out
+    # Copies of a result row, a thousand at a time.
+    blocks = out.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_times") - 1) / 1000))))
+    return blocks.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(1000).cast("long"), F.col("_times") - 1000 * F.col("_block"))))).drop("_times", "_block", "_copy")

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import zlib
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -314,6 +315,34 @@ def test_ranges_don_t_change_neighbours(spark, sf):
     assert a == b
 
 
+def test_hot_ids_are_split(spark):
+    rows = [(k, f"text {k} " * 5) for k in range(200)] + [(50, f"other text {k % 40} of a hot id, {k % 40}") for k in range(900)] + [(None, "null id")] * 700 + [(60, "one text")] * 500 + [(None, f"null {k}") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ranges = merkle.Ranges.of(df.select(F.col("doc_id").alias("id")), 50)
+    assert {50, 60, None} <= set(ranges.hot)
+    found = merkle.edited_neighbours(df, range_rows=50)
+    got = found.collect()
+    assert len(got) == len(rows)
+    same = lambda i: sorted(r.fingerprint for r in got if r.doc_id == i)
+    roots = {(r.doc_id, r.text): r.f for r in df.distinct().select("doc_id", "text", merkle.root(F.col("text")).alias("f")).collect()}
+    for i in (None, 50, 60, 7):
+        assert same(i) == sorted(roots[i, t] for k, t in rows if k == i)
+    # Each row is followed by one, and each row but one of the highest id follows one: what edits take from the next text shows which.
+    nexts = Counter()
+    edits = {}
+    for a in roots:
+        for b in roots:
+            if a[0] == b[0] or (a[0] is not None and (b[0] is None or b[0] < a[0])) or (a[0] is None and b[0] == 199):
+                k = len(a[1]) // 3
+                edits.setdefault((a[0], hashlib.sha256((a[1][: len(a[1]) - k] + b[1][:k]).encode()).hexdigest()), b)
+    for r in got:
+        follower = edits[r.doc_id, r.edited_sha256]
+        nexts[follower[0]] += 1
+    assert sum(nexts.values()) == len(rows)
+    plan = found._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_merkle_odd(spark, odd, none):
     rows = merkle.edited_neighbours(odd, range_rows=3).collect()
     assert len(rows) == odd.count() and merkle.edited_neighbours(none).count() == 0
