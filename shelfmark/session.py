@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -36,11 +37,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests on one machine, is a temporary folder set.
+    Only where the session names none and runs in this process, as in tests, is a temporary folder set.
     """
     context = spark.sparkContext
     found = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="shelfmark-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
     if not context.getCheckpointDir():
