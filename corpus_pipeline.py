@@ -24,43 +24,53 @@ LANGUAGE_SCORE, QUALITY_SCORE = 0.5, 0.5
 NEAR = 80
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that documents don't have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the languages of the labelled rows."""
     model = language_id.fit(docs, F.lit(True))
     found = language_id.predictor(spark, model)(F.coalesce(F.col("text"), F.lit("")))
-    scored = docs.select("*", found.alias("_found"))
-    return scored.filter((F.col("_found.lang_pred") != language_id.UNKNOWN) & (F.col("_found.score") >= LANGUAGE_SCORE)).drop("_found")
+    name = unused(docs, "_found")
+    scored = docs.select("*", found.alias(name))
+    return scored.filter((F.col(f"{name}.lang_pred") != language_id.UNKNOWN) & (F.col(f"{name}.score") >= LANGUAGE_SCORE)).drop(name)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that nearest-neighbour voting takes for good."""
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"), F.lit(True))
-    scored = docs.select("*", quality.scorer(spark, model)(F.coalesce(F.col("text"), F.lit(""))).alias("_score"))
-    return scored.filter(F.col("_score") >= QUALITY_SCORE).drop("_score")
+    name = unused(docs, "_score")
+    scored = docs.select("*", quality.scorer(spark, model)(F.coalesce(F.col("text"), F.lit(""))).alias(name))
+    return scored.filter(F.col(name) >= QUALITY_SCORE).drop(name)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """With a key of each row's id and text, which sorts by id, null ids last."""
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """With a key of each row's id and text, which sorts by id, null ids last; and the key's name."""
+    name = unused(docs, "_row")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("digest"))
-    return docs.withColumn("_row", key)
+    return docs.withColumn(name, key), name
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id; repeated rows of one id and text once."""
-    rows = keyed(docs)
-    found = near_dup.near_duplicates(rows, NEAR, id_col="_row")
-    dropped = if_small(cut(found.filter("NOT kept").select("_row").distinct()))
-    repeated = if_small(cut(found.groupBy("_row").count().filter("count > 1").select("_row")))
-    kept = rows.join(dropped, "_row", "left_anti")
-    once = kept.join(repeated, "_row", "left_anti")
-    return once.unionByName(kept.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])).select(docs.columns)
+    rows, key = keyed(docs)
+    found = near_dup.near_duplicates(rows, NEAR, id_col=key)
+    dropped = if_small(cut(found.filter("NOT kept").select(key).distinct()))
+    repeated = if_small(cut(found.groupBy(key).count().filter("count > 1").select(key)))
+    kept = rows.join(dropped, key, "left_anti")
+    once = kept.join(repeated, key, "left_anti")
+    return once.unionByName(kept.join(repeated, key, "left_semi").dropDuplicates([key])).select(docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    rows = keyed(docs)
-    found = decontaminate.contaminated(rows, read_table(spark, sf_dir, "benchmark"), id_col="_row")
-    return rows.join(if_small(cut(found.select("_row").distinct())), "_row", "left_anti").select(docs.columns)
+    rows, key = keyed(docs)
+    found = decontaminate.contaminated(rows, read_table(spark, sf_dir, "benchmark"), id_col=key)
+    return rows.join(if_small(cut(found.select(key).distinct())), key, "left_anti").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
