@@ -16,23 +16,25 @@ import hashlib
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from shelfmark.llm.frames import map_arrow, small_batches, two_columns, worker_slot
-from shelfmark.llm.words import split_words, word_tokenizer
+from shelfmark.llm.frames import by_bytes, small_batches, two_columns, worker_slot
+from shelfmark.llm.words import RaggedWords, split_words, word_tokenizer
 
-#: Distinct words, and pieces of words, that a Python worker keeps.
-WORDS_KEPT = 100_000
+#: Distinct words, pieces of words, and pairs of tokens that a Python worker keeps.
+WORDS_KEPT, PIECES_KEPT, PAIRS_KEPT = 250_000, 80_000, 200_000
+#: Bytes of text that are encoded at once.
+CHUNK = 1 << 20
 NEVER = 1 << 60
 ENDING = 4
 
 # White space of Unicode, and the pieces that the public vocabulary's splitter keeps.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-SEPARATORS = regex.compile("[\x1c-\x1f]")
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 
 
@@ -202,8 +204,10 @@ class TrieBpe:
 
     def learn(self, raw: list[str]) -> list[list[str | int]]:
         """The pieces of each string; those that aren't known yet go through one trie."""
-        if len(self.known) > WORDS_KEPT:
+        if len(self.known) > PIECES_KEPT:
             self.known.clear()
+        if len(self.may) > PAIRS_KEPT:
+            self.may.clear()
         split = [self.pieces_of(text) for text in raw]
         new = {p for parts in split for p in parts if isinstance(p, str)} - self.known.keys()
         collecting = gc.isenabled()
@@ -228,29 +232,17 @@ class TrieBpe:
 
 
 class _Encoded:
-    """Joined ids and joined tokens of the words that one worker has met; new words wait until their batch is encoded."""
+    """Ids of the words that one worker has met, as integers in one array; and each id's digits and token."""
 
     def __init__(self, bpe: TrieBpe) -> None:
-        self.bpe = bpe
-        self.ids: dict[str, str] = {}
-        self.tokens: dict[str, str] = {}
-        self.digits = {i: str(i) for i in bpe.text}
+        self.words = RaggedWords(bpe.encode_pieces, WORDS_KEPT)
+        most = max(bpe.text) + 1
+        self.digits = pa.array([str(i) for i in range(most)])
+        self.tokens = pa.array([bpe.text.get(i, "") for i in range(most)])
 
-    def add(self, words: set[str]) -> None:
-        if len(self.ids) > WORDS_KEPT:
-            self.ids.clear()
-            self.tokens.clear()
-        new = list(words.difference(self.ids))
-        text, digits, known = self.bpe.text, self.digits, self.bpe.known
-        for word, parts in zip(new, self.bpe.learn(new), strict=True):
-            ids = known[parts[0]] if len(parts) == 1 and parts[0] in known else [i for p in parts for i in (known[p] if isinstance(p, str) else (p,))]
-            self.ids[word] = " ".join([digits[i] for i in ids])
-            self.tokens[word] = " ".join([text[i] for i in ids])
-
-
-def whole_words(text: str) -> list[str]:
-    """Words between white space, none empty. Python splits at four control characters that the tokenizer keeps."""
-    return [w for w in split_words(text) if w.strip(BLANKS)] if SEPARATORS.search(text) else text.split()
+    def joined(self, ids: np.ndarray, starts: np.ndarray, of: pa.Array) -> pa.Array:
+        """Each text's digits or tokens, joined by one space."""
+        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(starts, pa.int64()), of.take(pa.array(ids))), " ")
 
 
 def worker_words(tokenizer_file: str) -> _Encoded:
@@ -267,21 +259,15 @@ def encode_and_decode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_i
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = worker_words(tokenizer_file)
-        split = [whole_words(t) for t in batch.column(1).to_pylist()]
-        known.add(set().union(*split))
-        columns: list[list] = [[], [], [], [], []]
-        of_ids, of_tokens = known.ids.__getitem__, known.tokens.__getitem__
-        for words in split:
-            ids, decoded = " ".join(map(of_ids, words)), " ".join(map(of_tokens, words))
-            columns[0].append(ids.count(" ") + 1 if ids else 0)
-            columns[1].append(hashlib.sha256(ids.encode()).hexdigest())
-            columns[2].append(hashlib.sha256(decoded.encode()).hexdigest())
-            if texts:
-                columns[3].append([int(i) for i in ids.split()])
-                columns[4].append(decoded)
-        arrays = [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())]
+        ids, starts = known.words.flat(batch.column(1).to_pylist())
+        digits, decoded = known.joined(ids, starts, known.digits), known.joined(ids, starts, known.tokens)
+        digests = lambda x: pa.array([hashlib.sha256(t.encode()).hexdigest() for t in x.to_pylist()], pa.string())
+        arrays = [batch.column(0), pa.array(np.diff(starts)), digests(digits), digests(decoded)]
         if texts:
-            arrays += [pa.array(columns[3], pa.list_(pa.int32())), pa.array(columns[4], pa.string())]
+            arrays += [pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids)), decoded]
         return pa.RecordBatch.from_arrays(arrays, [f.name for f in fields])
 
-    return map_arrow(two_columns(docs, id_col, text_col), each, T.StructType(fields))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return map(each, by_bytes(batches, 1, CHUNK))
+
+    return two_columns(docs, id_col, text_col).mapInArrow(run, T.StructType(fields))

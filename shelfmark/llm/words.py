@@ -91,15 +91,25 @@ class RaggedWords:
     def clear(self) -> None:
         self.index, self.table = WordIndex(), Ragged()
 
-    def batch(self, texts: Sequence[str]) -> list[np.ndarray]:
-        """The encoded integers of each text."""
+    def _rows(self, texts: Sequence[str]) -> list[np.ndarray]:
         if len(self.index) > self.limit:
             self.clear()
         out = [self.index.rows(split_words(t)) for t in texts]
         if self.index.new:
             self.table.append(self.encode(self.index.new))
             self.index.new = []
-        return [self.table.gather(rows)[0] for rows in out]
+        return out
+
+    def batch(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """The encoded integers of each text."""
+        return [self.table.gather(rows)[0] for rows in self._rows(texts)]
+
+    def flat(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The encoded integers of all texts in order, and where each text's begin, with the end of the last."""
+        rows = self._rows(texts)
+        values, lens = self.table.gather(np.concatenate([np.zeros(0, np.int64), *rows]))
+        words = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        return values, np.concatenate([[0], np.cumsum(lens)])[words]
 
 
 class WordRows:
