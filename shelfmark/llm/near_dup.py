@@ -43,7 +43,7 @@ SMALL = 24
 #: Chance, at least, that some tree compares two classes at the threshold.
 RECALL = 0.99
 #: Least trees; trees beyond which fewer levels are taken instead; levels at most, and from one comparison to the next.
-TREES, MOST_TREES, DEPTH, STRIDE = 16, 32, 7, 2
+TREES, MOST_TREES, DEPTH, STRIDE = 16, 32, 7, 3
 #: Minwise values at least, and the standard deviations by which those that agree may fall short.
 HASHES, SIGMAS = 64, 6.4
 #: Classes in a part of a large node; a tile holds two parts.

@@ -321,6 +321,26 @@ def test_near_duplicates_in_a_template_family(spark, percent):
     assert max(Counter(comp.values()).values()) <= 2
 
 
+@pytest.mark.parametrize("percent", [50, 70])
+def test_near_duplicates_at_lower_thresholds(spark, percent):
+    """Pairs just above and just below the threshold, each with words of its own."""
+    rng = random.Random(percent)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    rows, above = [], []
+    for k in range(120):
+        size = 100
+        # d shingles of each side differ: (size - d) / (size + d).
+        d = int(size * (1 - percent / 100) / (1 + percent / 100)) - 1 + (3 if k % 2 else 0)
+        base = [word() for _ in range(size + 4)]
+        rows += [" ".join(base), " ".join(base[: len(base) - d] + [word() for _ in range(d)])]
+        x, y = shingles(rows[-2]), shingles(rows[-1])
+        if 100 * len(x & y) >= percent * len(x | y):
+            above.append(2 * k)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), percent).collect()}
+    assert 50 <= len(above) <= 70 and sum(got[k] == got[k + 1] for k in above) >= 0.98 * len(above)
+    assert all(got[k] != got[k + 1] for k in range(0, len(rows), 2) if k not in above) and len(set(got.values())) >= len(rows) - len(above)
+
+
 def test_each_level_of_each_tree_has_its_own_hash():
     plan = near_dup.Plan.of(85)
     assert {plan.at(t, k) for t in range(plan.trees) for k in range(plan.depth)} == set(range(plan.trees * plan.depth))
