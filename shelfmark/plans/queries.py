@@ -360,7 +360,9 @@ def page_fallback_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", catalog.needs_render(F.col("html")).alias("needs_render"))
 
 
-_PLAIN = "replace(replace(replace(replace({0}, '&lt;', '<'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_PLAIN = "{0}"
+for _name, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", chr(34)), ("&#x27;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_name}', '{_sign}')"
 
 
 @query("SELECT page_id, trim(" + _PLAIN.format("regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), '<[^>]*>', '', 'g')") + ") AS name, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS VARCHAR) AS sku, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS pack FROM pages")
