@@ -27,7 +27,7 @@ from shelfmark.llm.words import RaggedWords, word_tokenizer
 from shelfmark.session import cut, scratch_path
 
 #: Distinct words, and pieces of words, that one Python worker keeps.
-WORDS_KEPT = 150_000
+WORDS_KEPT = 450_000
 
 # How the public vocabulary's splitter cuts a word of ASCII characters.
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
