@@ -363,7 +363,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             left = cut(mixed(labelled(large.select("tree", "node", "cid"), labels)))
             labels = merge_components(labels, tiled(left, classes, docs, id_col, text_col, percent))
         else:
-            now = child_rows(large, classes, labels, plan, range(level, level + STRIDE))
+            # Stored, since mixed() reads rows twice and their joins would run twice.
+            now = cut(child_rows(large, classes, labels, plan, range(level, level + STRIDE)))
 
     # Smallest document id of each component, then of each class, then of each row.
     inside = classes.select("cid", "key", "id").join(labels, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))

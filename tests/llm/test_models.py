@@ -321,6 +321,23 @@ def test_near_duplicates_in_a_template_family(spark, percent):
     assert max(Counter(comp.values()).values()) <= 2
 
 
+def test_rows_of_deeper_levels_are_made_once(spark, monkeypatch):
+    rows, near = template_family(80, seed=1, crowd=150, pairs=20)
+    made, seen, child_rows = [], spark.sparkContext.accumulator(0), near_dup.child_rows
+    counted = F.udf(lambda cid: seen.add(1) or True, "boolean").asNondeterministic()
+
+    def counting(*args):
+        deeper = child_rows(*args)
+        made.append(deeper.count())
+        return deeper.filter(counted("cid"))
+
+    monkeypatch.setattr(near_dup, "child_rows", counting)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    comp = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, 80).collect()}
+    assert all(comp[a] == comp[b] for a, b in near) and len(set(comp.values())) == len(rows) - len(near)
+    assert len(made) == 2 and min(made) > len(rows) and seen.value == sum(made)
+
+
 @pytest.mark.parametrize("percent", [50, 70])
 def test_near_duplicates_at_lower_thresholds(spark, percent):
     """Pairs just above and just below the threshold, each with words of its own."""
