@@ -14,70 +14,123 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from shelfmark.llm.frames import TEXT_ROWS, if_small, map_arrow, sliced, small_batches, two_columns, worker_slot
-from shelfmark.llm.words import RaggedWords, word_tokenizer
+from shelfmark.llm.frames import BATCH_BYTES, by_bytes, if_small, map_arrow, small_batches, two_columns, worker_slot
+from shelfmark.llm.words import CountedWords, Ragged, RaggedWords, word_tokenizer
 from shelfmark.session import cut, scratch_path
 
-#: Distinct words, and pieces of words, that one Python worker keeps.
-WORDS_KEPT = 450_000
+#: Distinct words that one Python worker keeps, and new ones that the library gets at once.
+WORDS_KEPT, WORDS_AT_ONCE = 350_000, 2_000
+
+# Words of lower-case letters up to U+024F, where NFC changes nothing and each letter but U+0130 has one lower-case letter;
+# texts of other characters than these and common signs; and signs that make one piece with a comma or full stop after them.
+LOWER_LETTERS = re.compile(f"[{''.join(c for c in map(chr, range(0x250)) if c.isalpha() and c.lower() == c)}]+")
+OTHER_CHARACTERS = r"[^\x{0}-\x{12F}\x{131}-\x{24F}\x{2010}-\x{2027}]"
+SIGNS_TOGETHER = r"[^\pL\pN ][,.] "
 
-# How the public vocabulary's splitter cuts a word of ASCII characters.
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
 class _Library:
-    """Ids of words from the tokenizers library, which encodes each distinct piece once for a worker.
+    """Ids of words from the tokenizers library, which encodes each word once while a worker keeps it.
 
-    Pieces are what the tokenizer's own normalizer and splitter cut a word into; it never merges across them.
+    The tokenizer's normalizer and splitter leave words of lower-case letters as they are, so many go to its model as one text, whose
+    ids are cut where words end. All other words go through the whole tokenizer.
     """
 
     def __init__(self, tokenizer_file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(tokenizer_file), {}
-        self.whole = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-
-    def split(self, word: str) -> list[str]:
-        plain = word.rstrip(",.")
-        # Of other words a letter may become several when it is lower-cased, of which some take the sign after it along.
-        if plain.isalpha() and (plain.isascii() or plain.lower().isalpha()):
-            return [plain.lower() if plain.isascii() else plain, *([word[len(plain) :]] if len(plain) < len(word) else [])]
-        if not word.isascii() or any(t in word for t in self.whole):
-            return [word]
-        return ASCII_PIECES.findall(word.lower())
-
-    def add(self, pieces: set[str]) -> None:
-        """Lower-case ASCII letters pass the tokenizer's normalizer and splitter as they are, so its model takes them directly."""
-        model = self.tokenizer.model
-        plain = [p for p in pieces if p.isalpha() and p.isascii() and p.islower()]
-        rest = list(pieces.difference(plain))
-        for piece in plain:
-            self.known[piece] = [t.id for t in model.tokenize(piece)]
-        for piece, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[piece] = e.ids
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit, Sequence
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = Sequence([CharDelimiterSplit(" "), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ids = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(ids.values()) + 1, bool)
+        self.ends[[i for t, i in ids.items() if t.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
+
+    def words(self, texts: pa.Array) -> pa.ListArray:
+        """Words between spaces and line feeds, in lower case and without the comma or full stop after them where the library gives the same ids for that."""
+        raw = pc.replace_substring(pc.binary_join_element_wise(texts, *(pa.scalar(t, texts.type) for t in ("", " "))), "\n", " ")
+        lower = pc.utf8_lower(raw)
+        differ = pc.match_substring_regex(raw, OTHER_CHARACTERS)
+        for token in self.whole:
+            differ = pc.or_(differ, pc.match_substring(lower, token.lower()))
+        lower = pc.if_else(differ, raw, lower)
+        apart = pc.replace_substring(pc.replace_substring(lower, ", ", " , "), ". ", " . ")
+        return pc.split_pattern(pc.if_else(pc.or_(differ, pc.match_substring_regex(lower, SIGNS_TOGETHER)), lower, apart), " ")
+
+    def one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for row in ids for i in row), np.int32, int(lens.sum())), lens
+
+    def together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.letters.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        # Each word has one last token, unless the file has none for its last byte.
+        return (ids, np.diff(stops, prepend=0)) if len(stops) == len(words) and stops[-1] == len(ids) else self.one_by_one(words)
+
+    def flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in order, and how many each word has."""
+        table, rows = Ragged(), np.empty(len(words), np.int64)
+        letters = np.fromiter((LOWER_LETTERS.fullmatch(w) is not None for w in words), bool, len(words))
+        for way, which in ((self.together, np.flatnonzero(letters)), (self.one_by_one, np.flatnonzero(~letters))):
+            for at in range(0, len(which), WORDS_AT_ONCE):
+                part = which[at : at + WORDS_AT_ONCE]
+                rows[part] = table.n + np.arange(len(part))
+                table.extend(*way([words[k] for k in part.tolist()]))
+        return table.gather(rows)
 
     def encode(self, words: list[str]) -> list[list[int]]:
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        split = list(map(self.split, words))
-        self.add({p for parts in split for p in parts} - self.known.keys())
-        return [self.known[parts[0]] if len(parts) == 1 else [i for p in parts for i in self.known[p]] for parts in split]
+        """The ids of each word, as RaggedWords takes them."""
+        ids, lens = self.flat(words)
+        return [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] if words else []
 
 
-def library_words(tokenizer_file: str) -> RaggedWords:
-    """This worker's cache of the tokenizers library's ids for each distinct word between spaces.
+class LibraryWords:
+    """Ids of texts from a bounded cache of the library's ids of words.
 
     The tokenizer drops white space, so ids of a text are those of its words in order.
     """
-    return worker_slot(("library", tokenizer_file), lambda: RaggedWords(_Library(tokenizer_file).encode, WORDS_KEPT))
+
+    def __init__(self, tokenizer_file: str, limit: int = WORDS_KEPT) -> None:
+        self.library = _Library(tokenizer_file)
+        self.cache = CountedWords(self.library.flat, limit)
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, and where each text's end."""
+        words = self.library.words(texts)
+        ids, lens = self.cache.flat(pc.list_flatten(words))
+        ends = np.cumsum(pc.list_value_length(words).to_numpy())
+        return ids, np.concatenate([[0], np.cumsum(lens)])[ends]
+
+
+def merged(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches put together until one column has `limit` bytes, so that few hold little."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def library_words(tokenizer_file: str) -> LibraryWords:
+    """What this worker keeps of the tokenizers library's ids."""
+    return worker_slot(("library", tokenizer_file), lambda: LibraryWords(tokenizer_file))
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -89,17 +142,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
 
     def encode(batches):
         start = 0
-        for big in batches:
-            for batch in sliced(big, TEXT_ROWS):
-                arrays = library_words(tokenizer_file).batch(batch.column(1).to_pylist())
-                lens = np.fromiter((len(a) + 1 for a in arrays), np.int64, len(arrays))
-                ends = np.cumsum(lens)
-                ids = np.full(int(ends[-1]), end_id, np.int32)
-                for a, e, n in zip(arrays, ends, lens, strict=True):
-                    ids[e - n : e - 1] = a
-                offsets = np.concatenate([[0], ends]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(start + ends - lens), pa.array(lens), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["id", "local_start", "n_tokens", "ids"])
-                start += int(ends[-1])
+        for batch in merged(by_bytes(batches, 1, BATCH_BYTES // 2), 1, BATCH_BYTES // 2):
+            plain, stops = library_words(tokenizer_file).batch(batch.column(1))
+            ids = np.insert(plain, stops, end_id)
+            ends = stops + np.arange(1, len(stops) + 1)
+            lens = np.diff(ends, prepend=0)
+            offsets = np.concatenate([[0], ends]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(start + ends - lens), pa.array(lens), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["id", "local_start", "n_tokens", "ids"])
+            start += int(ends[-1])
 
     # The hash and the row number split an id of many rows, even equal ones, over partitions; the sampled bounds hold no texts.
     rows = two_columns(docs, id_col, text_col).withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})

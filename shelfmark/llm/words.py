@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # How a tokenizers file must normalize and split, for encoders that work word by word.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -61,15 +63,18 @@ class Ragged:
 
     def append(self, rows: Sequence[Sequence[int]]) -> None:
         lens = np.fromiter(map(len, rows), np.int64, len(rows))
-        total = int(lens.sum())
-        while self.used + total > len(self.flat):
+        self.extend(np.fromiter((x for row in rows for x in row), self.flat.dtype, int(lens.sum())), lens)
+
+    def extend(self, values: np.ndarray, lens: np.ndarray) -> None:
+        """Append rows given as all their values in order and how many each row has."""
+        while self.used + len(values) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while self.n + len(rows) + 1 > len(self.offsets):
+        while self.n + len(lens) + 1 > len(self.offsets):
             self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-        self.flat[self.used : self.used + total] = np.fromiter((x for row in rows for x in row), self.flat.dtype, total)
-        self.offsets[self.n + 1 : self.n + len(rows) + 1] = self.used + np.cumsum(lens)
-        self.used += total
-        self.n += len(rows)
+        self.flat[self.used : self.used + len(values)] = values
+        self.offsets[self.n + 1 : self.n + len(lens) + 1] = self.used + np.cumsum(lens)
+        self.used += len(values)
+        self.n += len(lens)
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The values of these rows in order, and how many each row has."""
@@ -112,6 +117,42 @@ class RaggedWords:
         return values, np.concatenate([[0], np.cumsum(lens)])[words]
 
 
+class CountedWords:
+    """A bounded cache from words of Arrow arrays to rows of integers, filled by `encode` (all values, and each word's length) for the new words.
+
+    When full it forgets the words met only once since it was last full, and the rarest beyond half its limit. Words are found by
+    Arrow, which hashes those kept once for each array, so arrays should have some hundred thousand words.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int) -> None:
+        self.encode, self.limit = encode, limit
+        self.words, self.table, self.uses = pa.array([], pa.string()), Ragged(), np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        most = np.argsort(-self.uses, kind="stable")[: self.limit // 2]
+        kept = np.sort(most[self.uses[most] > 1])
+        values, lens = self.table.gather(kept)
+        self.words, self.table, self.uses = self.words.take(pa.array(kept)), Ragged(), self.uses[kept] // 2
+        self.table.extend(values, lens)
+
+    def flat(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The encoded integers of all words in order, and how many each word has."""
+        if len(self.words) > self.limit:
+            self.forget()
+        known = self.words.cast(words.type)
+        found = pc.index_in(words, value_set=known)
+        rows = found.fill_null(0).to_numpy().astype(np.int64)
+        if found.null_count:
+            is_new = found.is_null()
+            new = words.filter(is_new).dictionary_encode()
+            self.table.extend(*self.encode(new.dictionary.to_pylist()))
+            rows[is_new.to_numpy(zero_copy_only=False)] = len(known) + new.indices.to_numpy()
+            self.words = pa.concat_arrays([known, new.dictionary])
+            self.uses = np.concatenate([self.uses, np.zeros(len(new.dictionary), np.int64)])
+        self.uses += np.bincount(rows, minlength=len(self.uses))
+        return self.table.gather(rows)
+
+
 class WordRows:
     """A bounded cache from words to rows of arrays, which `scored` makes for the distinct new words of a batch."""
 

@@ -5,7 +5,9 @@ import hashlib
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -99,6 +101,40 @@ def test_fuzzed_words():
         assert got.tolist() == ids and bpe.encode(text) == ids, text
 
 
+@pytest.mark.parametrize("text", ["\u0958,", "x\u0958."])
+def test_letters_that_come_apart_keep_the_sign_after_them(text):
+    ids = Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
+    assert token_files.RaggedWords(token_files._Library(tokenizer_path()).encode, 10).batch([text])[0].tolist() == ids
+
+
+def test_words_of_whole_texts_are_the_library():
+    import random
+
+    tok, rng = Tokenizer.from_file(tokenizer_path()), random.Random(3)
+    texts = [f"{c}, a{c}. {c} {c}b,\n{c}{c}." for c in map(chr, range(0x2100))]
+    texts += ["\u0958,", "x\u0958. y", "#, a", "_, a", "a., b. c", "a, , b", "a<|endoftext|>, B.", "<|ENDOFTEXT|>. A,", "J\u030c, A. b", "", "A."]
+    texts += ["".join(rng.choice("abXY'sté\u01c5İ\u0958\u0301,,..# _0\u2026\u00a0 \n") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    rng.shuffle(texts)
+    cached = token_files.LibraryWords(tokenizer_path(), 300)
+    for at in range(0, len(texts), 200):
+        part = texts[at : at + 200]
+        for kind in (pa.string(), pa.large_string()):
+            ids, ends = cached.batch(pa.array(part, kind))
+            want = [tok.encode(t, add_special_tokens=False).ids for t in part]
+            assert [x.tolist() for x in np.split(ids, ends)] == [*want, []]
+
+
+def test_the_library_gets_few_words_twice():
+    seen = Counter()
+    cached = token_files.LibraryWords(tokenizer_path(), 100)
+    flat = cached.cache.encode
+    cached.cache.encode = lambda words: seen.update(words) or flat(words)
+    for k in range(20):
+        cached.batch(pa.array([f"The the, THE. the\nnorth north, {' '.join(f'w{k}x{j}' for j in range(60))}"] * 2 + [f"rare{chr(97 + k)}"]))
+    assert seen["the"] == seen["north"] == 1 and not {"The", "THE.", "the,", "north,"} & seen.keys()
+    assert len(cached.cache.words) <= 100 + 70
+
+
 def test_other_tokenizer_files_are_refused(odd):
     other = tokenizer_path("byte_bpe_50k.json")
     for use in (trie_bpe.encode_and_decode, token_files.token_file_digests):
