@@ -56,6 +56,19 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iter
             at = stop
 
 
+def merged(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches put together until one column has `limit` bytes, so that few hold little."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 #: Rows and bytes of a batch that Spark sends to Python.
 BATCH_ROWS, BATCH_BYTES = 2 * TEXT_ROWS, 4 << 20
 

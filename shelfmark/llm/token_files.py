@@ -12,7 +12,6 @@ gives files with no rows; other columns are ignored. A tokenizers file that norm
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,19 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from shelfmark.llm.frames import BATCH_BYTES, by_bytes, if_small, map_arrow, small_batches, two_columns, worker_slot
-from shelfmark.llm.words import CountedWords, Ragged, RaggedWords, word_tokenizer
+from shelfmark.llm.frames import BATCH_BYTES, by_bytes, if_small, map_arrow, merged, small_batches, two_columns, worker_slot
+from shelfmark.llm.words import LOWER_LETTERS, CountedWords, Ragged, RaggedWords, lower_words, word_tokenizer
 from shelfmark.session import cut, scratch_path
 
 #: Distinct words that one Python worker keeps, and new ones that the library gets at once.
 WORDS_KEPT, WORDS_AT_ONCE = 350_000, 2_000
 
-# Words of lower-case letters up to U+024F, where NFC changes nothing and each letter but U+0130 has one lower-case letter;
-# texts of other characters than these and common signs; and signs that make one piece with a comma or full stop after them.
-LOWER_LETTERS = re.compile(f"[{''.join(c for c in map(chr, range(0x250)) if c.isalpha() and c.lower() == c)}]+")
-OTHER_CHARACTERS = r"[^\x{0}-\x{12F}\x{131}-\x{24F}\x{2010}-\x{2027}]"
-SIGNS_TOGETHER = r"[^\pL\pN ][,.] "
-
 
 class _Library:
     """Ids of words from the tokenizers library, which encodes each word once while a worker keeps it.
@@ -59,15 +52,7 @@ class _Library:
         self.ends[[i for t, i in ids.items() if t.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
 
     def words(self, texts: pa.Array) -> pa.ListArray:
-        """Words between spaces and line feeds, in lower case and without the comma or full stop after them where the library gives the same ids for that."""
-        raw = pc.replace_substring(pc.binary_join_element_wise(texts, *(pa.scalar(t, texts.type) for t in ("", " "))), "\n", " ")
-        lower = pc.utf8_lower(raw)
-        differ = pc.match_substring_regex(raw, OTHER_CHARACTERS)
-        for token in self.whole:
-            differ = pc.or_(differ, pc.match_substring(lower, token.lower()))
-        lower = pc.if_else(differ, raw, lower)
-        apart = pc.replace_substring(pc.replace_substring(lower, ", ", " , "), ". ", " . ")
-        return pc.split_pattern(pc.if_else(pc.or_(differ, pc.match_substring_regex(lower, SIGNS_TOGETHER)), lower, apart), " ")
+        return lower_words(texts, self.whole)
 
     def one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -115,19 +100,6 @@ class LibraryWords:
         return ids, np.concatenate([[0], np.cumsum(lens)])[ends]
 
 
-def merged(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """The batches put together until one column has `limit` bytes, so that few hold little."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.column(column).nbytes
-        if size >= limit:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, size = [], 0
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
 def library_words(tokenizer_file: str) -> LibraryWords:
     """What this worker keeps of the tokenizers library's ids."""
     return worker_slot(("library", tokenizer_file), lambda: LibraryWords(tokenizer_file))

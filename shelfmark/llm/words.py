@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Sequence
 from typing import Any
 
@@ -18,6 +19,12 @@ PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "patter
 MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
 
+# Words of lower-case letters up to U+024F, where NFC changes nothing and each letter but U+0130 has one lower-case letter;
+# texts of other characters than these and common signs; and signs that make one piece with a comma or full stop after them.
+LOWER_LETTERS = re.compile(f"[{''.join(c for c in map(chr, range(0x250)) if c.isalpha() and c.lower() == c)}]+")
+OTHER_CHARACTERS = r"[^\x{0}-\x{12F}\x{131}-\x{24F}\x{2010}-\x{2027}]"
+SIGNS_TOGETHER = r"[^\pL\pN ][,.] "
+
 
 def word_tokenizer(tokenizer_file: str) -> dict[str, Any]:
     """The content of a tokenizers file whose texts can be encoded word by word; another file raises ValueError."""
@@ -55,6 +62,21 @@ def split_words(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
+def lower_words(texts: pa.Array, whole: Sequence[str]) -> pa.ListArray:
+    """Words between spaces and line feeds, in lower case and without the comma or full stop after them where the library gives the same ids for that.
+
+    whole: the added tokens, which are in no case but their own.
+    """
+    raw = pc.replace_substring(pc.binary_join_element_wise(texts, *(pa.scalar(t, texts.type) for t in ("", " "))), "\n", " ")
+    lower = pc.utf8_lower(raw)
+    differ = pc.match_substring_regex(raw, OTHER_CHARACTERS)
+    for token in whole:
+        differ = pc.or_(differ, pc.match_substring(lower, token.lower()))
+    lower = pc.if_else(differ, raw, lower)
+    apart = pc.replace_substring(pc.replace_substring(lower, ", ", " , "), ". ", " . ")
+    return pc.split_pattern(pc.if_else(pc.or_(differ, pc.match_substring_regex(lower, SIGNS_TOGETHER)), lower, apart), " ")
+
+
 class Ragged:
     """Rows of integers of any length, appended in blocks and gathered by row number."""
 

@@ -135,6 +135,45 @@ def test_the_library_gets_few_words_twice():
     assert len(cached.cache.words) <= 100 + 70
 
 
+def test_trie_of_whole_texts_is_the_library(monkeypatch):
+    import random
+    import unicodedata
+
+    monkeypatch.setattr(trie_bpe, "WORDS_KEPT", 300)
+    monkeypatch.setattr(trie_bpe, "PAIRS_KEPT", 1000)
+    monkeypatch.setattr(trie_bpe, "AT_ONCE", 50)
+    tok, rng = Tokenizer.from_file(tokenizer_path()), random.Random(4)
+    texts = [f"{c}, a{c}. {c} {c}b,\n{c}{c}." for c in map(chr, range(0x2100)) if unicodedata.category(c) != "Cn"]
+    texts += ["\u0958,", "x\u0958. y", "a., b. c", "a<|endoftext|>, B.", "<|ENDOFTEXT|>. A,", "J\u030c, A. b", "", "A.", "it's I'LL don't's", "the them theme there"]
+    texts += ["".join(rng.choice("abXY'sté\u01c5İ\u0958\u0301,,..# _0\u2026\u00a0 \n") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    texts += [" ".join("".join(rng.choices("aeinstü", k=rng.randint(1, 9))) for _ in range(30)) for _ in range(300)]
+    rng.shuffle(texts)
+    cached = trie_bpe._Encoded(trie_bpe.TrieBpe(tokenizer_path()))
+    for at in range(0, len(texts), 200):
+        part = texts[at : at + 200]
+        ids, starts = cached.flat(pa.array(part))
+        assert [x.tolist() for x in np.split(ids, starts[1:])] == [*(tok.encode(t, add_special_tokens=False).ids for t in part), []]
+
+
+def test_the_trie_gets_few_words_twice(monkeypatch):
+    monkeypatch.setattr(trie_bpe, "WORDS_KEPT", 100)
+    monkeypatch.setattr(trie_bpe, "PIECES_KEPT", 50)
+    bpe, seen = trie_bpe.TrieBpe(tokenizer_path()), Counter()
+    walk = bpe.encode_words
+    bpe.encode_words = lambda words: seen.update(words) or walk(words)
+    cached = trie_bpe._Encoded(bpe)
+    for k in range(20):
+        cached.flat(pa.array([f"The the, THE. the\nnorth north, {' '.join(f'w{chr(97 + k)}x{chr(97 + j % 26)}y{chr(97 + j // 26)}' for j in range(60))}"] * 2))
+    assert seen["the"] == seen["north"] == 1
+    assert len(cached.words.words) <= 100 + 70
+
+
+def test_words_that_begin_alike():
+    tok, bpe = Tokenizer.from_file(tokenizer_path()), trie_bpe.TrieBpe(tokenizer_path())
+    words = sorted({w[:k] for w in ("internationalisation", "internet", "interns", "into", "zzzzzzzz", "a") for k in range(1, len(w) + 1)})
+    assert list(bpe.encode_words(words)) == [tok.encode(w, add_special_tokens=False).ids for w in words]
+
+
 def test_other_tokenizer_files_are_refused(odd):
     other = tokenizer_path("byte_bpe_50k.json")
     for use in (trie_bpe.encode_and_decode, token_files.token_file_digests):
