@@ -125,6 +125,14 @@ def test_page_fields(spark):
     assert got[0] == ("Armkit", 125.0, "LF1", "A description of over twenty letters", None) and got[1:] == [(None, None, None, None, None)] * 2
 
 
+@pytest.mark.parametrize("cut,text", [("&amp;", "and&"), ("&amp", "and&"), ("&am", "and&am"), ("&quot", 'and"'), ("&quo", "and&quo")])
+def test_references_cut_short(spark, cut, text):
+    """A heading cut within a reference: HTML reads amp and quot without their semicolon, and no shorter name."""
+    page = f"<h1>A &amp; and{cut}</h1>"
+    got = spark.createDataFrame([(page,)], "html string").select(catalog.strip_html(F.col("html")), catalog.page_fields()(F.col("html"))["name"]).first()
+    assert tuple(got) == (f"A & {text}",) * 2
+
+
 def test_selectors():
     tree = catalog.Tree(PAGE)
     for s in ("div > h1", ".product-info-main .price", "[itemprop='sku']", "[id*=product]", "h2, h1.product-title", "#product-description"):
