@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import attribute_conflict, brand_tokens
+from shelfmark.functions.text import MATERIALS, SIZES, STERILITY, attribute_conflict, brand_tokens, tokens
 from shelfmark.operators.graph import connected_components
 
 
@@ -43,19 +44,68 @@ def uom_conflict(uom_a: Column, size_a: Column, uom_b: Column, size_b: Column) -
 def score_pairs(pairs: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Adds the flags, computed_score and decision to pairs with cosine and, for a and b, name, manufacturer, uom and pack_size."""
     shared = F.arrays_overlap(brand_tokens(F.col("name_a"), F.col("manufacturer_a")), brand_tokens(F.col("name_b"), F.col("manufacturer_b")))
-    flagged = pairs.withColumns(
-        {
-            "manufacturer_bonus": shared & (F.col("cosine") >= t.bonus_floor),
-            "uom_conflict": uom_conflict(F.col("uom_a"), F.col("pack_size_a"), F.col("uom_b"), F.col("pack_size_b")),
-            "attribute_conflict": attribute_conflict(F.coalesce("name_a", F.lit("")), F.coalesce("name_b", F.lit(""))),
-        }
-    )
+    units = uom_conflict(F.col("uom_a"), F.col("pack_size_a"), F.col("uom_b"), F.col("pack_size_b"))
+    return score_flags(pairs, shared, units, attribute_conflict(F.coalesce("name_a", F.lit("")), F.coalesce("name_b", F.lit(""))), t)
+
+
+def score_flags(pairs: DataFrame, shared_brand: Column, units: Column, attributes: Column, t: Thresholds) -> DataFrame:
+    flagged = pairs.withColumns({"manufacturer_bonus": shared_brand & (F.col("cosine") >= t.bonus_floor), "uom_conflict": units, "attribute_conflict": attributes})
     change = lambda flag, by: F.when(F.col(flag), F.lit(by)).otherwise(F.lit(0.0))
     raw = F.col("cosine") + change("manufacturer_bonus", t.bonus) + change("uom_conflict", -t.uom_penalty) + change("attribute_conflict", -t.attribute_penalty)
     scored = flagged.withColumn("computed_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
     return scored.withColumn("decision", decision(F.col("computed_score"), t))
 
 
+#: Traits in one word, a long without its sign.
+WORD = 63
+
+
+@dataclass(frozen=True)
+class Traits:
+    """Columns of bits, one for each token that items hold, and each family's bits by column."""
+
+    columns: list[str]
+    bits: dict[str, list[int]]
+
+    def any(self, family: str, side: Callable[[str], Column]) -> Column:
+        """Whether any of a family's bits is set."""
+        found = [side(c).bitwiseAND(F.lit(m).cast("long")) != 0 for c, m in zip(self.columns, self.bits[family], strict=True)]
+        return reduce(lambda x, y: x | y, found, F.lit(False))
+
+
+def with_traits(items: DataFrame) -> tuple[DataFrame, Traits]:
+    """Items with what scoring looks for in name, manufacturer, uom and pack_size, as bits: each text is read once for an item, not for each of its pairs.
+
+    The distinct tokens are listed in the driver: fixed lists, but for white space within a few brands.
+    """
+    name, unit = F.coalesce("name", F.lit("")), F.lower(F.coalesce("uom", F.lit("")))
+    several = F.coalesce(F.nullif("pack_size", F.lit(0)), F.lit(1)) > 1
+    held = {"brand": brand_tokens(name, F.col("manufacturer")), "size": tokens(name, SIZES), "material": tokens(name, MATERIALS), "sterility": tokens(name, STERILITY)}
+    held |= {"pair": F.filter(F.array(unit), lambda u: u.isin(*PAIR_UNITS)), "bulk": F.filter(F.array(unit), lambda u: u.isin(*BULK_UNITS) & several)}
+    marked = lambda family, found: F.transform(found, lambda x: F.concat(F.lit(f"{family} "), x))
+    rows = items.withColumn("_said", F.concat(*[marked(family, found) for family, found in held.items()]))
+    listed = sorted(r[0] for r in rows.select(F.explode("_said")).distinct().collect())
+    words = [listed[k : k + WORD] for k in range(0, len(listed), WORD)]
+    mask = lambda word, family: sum(1 << k for k, x in enumerate(word) if x.startswith(family + " "))
+    traits = Traits([f"_traits{k}" for k in range(len(words))], {family: [mask(word, family) for word in words] for family in held})
+    none = F.lit(0).cast("long")
+
+    def bits(word: list[str]) -> Column:
+        of = F.create_map(*[x for k, token in enumerate(word) for x in (F.lit(token), F.lit(1 << k).cast("long"))])
+        return F.aggregate("_said", none, lambda s, x: s.bitwiseOR(F.coalesce(F.try_element_at(of, x), none)))
+
+    rows = rows.withColumns({column: bits(word) for column, word in zip(traits.columns, words, strict=True)})
+    return rows.drop("_said"), traits
+
+
+def score_traits(pairs: DataFrame, traits: Traits, t: Thresholds = Thresholds()) -> DataFrame:
+    """What score_pairs adds, from the bits that pairs carry for a and b."""
+    a, b, both = lambda c: F.col(c + "_a"), lambda c: F.col(c + "_b"), lambda c: F.col(c + "_a").bitwiseAND(F.col(c + "_b"))
+    differ = lambda family: traits.any(family, a) & traits.any(family, b) & ~traits.any(family, both)
+    units = (traits.any("pair", a) & traits.any("bulk", b)) | (traits.any("pair", b) & traits.any("bulk", a))
+    return score_flags(pairs, traits.any("brand", both), units, differ("size") | differ("material") | differ("sterility"), t)
+
+
 def with_items(pairs: DataFrame, items: DataFrame, how: str = "inner") -> DataFrame:
     """Pairs with both items' columns, suffixed _a and _b; left keeps pairs whose items aren't normalized."""
     side = lambda x: items.select(*[F.col(c).alias(f"{c}_{x}") for c in items.columns])

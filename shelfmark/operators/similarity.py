@@ -6,35 +6,60 @@ Rows go to Python as Arrow batches; each product is of two blocks of bounded siz
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.session import cut
 
-#: Rows of one side of a tile; query vectors that are broadcast at once.
-TILE, QUERIES = 2000, 20_000
+#: Rows of a batch that queries are held against; query vectors that are broadcast at once; rows of one side of a tile.
+TILE, QUERIES, PART = 2000, 20_000, 4000
 
+#: Rows of one side in one product: some megabytes of doubles.
+ROWS = 500
+
+#: Pairs whose cosines are computed at once; how far a product of blocks may be from them.
+PAIRS, SLACK = 1 << 16, 1e-12
+
+
+def vector_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = pc.unique(pc.list_value_length(lists)).to_pylist()
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of several lengths: {sorted(lengths)}")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), lengths[0]) if lengths else np.zeros((0, 1))
 
-def unit_rows(column) -> np.ndarray:
-    rows = np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, 1))
+
+def unit_rows(rows: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(norms > 0, norms, 1)
 
 
-def blocked_pairs(items: DataFrame, floor: float, tile: int = TILE) -> DataFrame:
+def cosines(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of rows a of the left with rows b of the right, 0 with a zero vector.
+
+    Each is computed by itself, so that copies of two vectors have the same cosine wherever they stand, and a vector 1 with its copy; in a product of blocks they differ in last bits.
+    """
+    dots = lambda x, y: np.einsum("ij,ij->i", x, y)
+    size = np.sqrt(dots(left, left)[a] * dots(right, right)[b])
+    found = np.concatenate([np.zeros(0), *[dots(left[a[k : k + PAIRS]], right[b[k : k + PAIRS]]) for k in range(0, len(a), PAIRS)]])
+    return np.clip(found / np.where(size > 0, size, 1), -1, 1)
+
+
+def blocked_pairs(items: DataFrame, floor: float, tile: int = PART, carry: Sequence[str] = ()) -> DataFrame:
     """(id_a, id_b, cosine, bucket): pairs of one bucket and different sources, id_a < id_b, at or over the floor.
 
     items has id, source, bucket, embedding. Rows of bucket `other`, and null buckets or embeddings, pair with nothing.
     A bucket of n rows is cut into ceil(n / tile) parts, and each pair of parts is one group, so a hot bucket is spread
-    over many tasks of bounded size.
+    over many tasks of bounded size. Columns to carry come with each pair, suffixed _a and _b, so that pairs need no join for them.
     """
-    rows = items.select("id", "source", "bucket", "embedding").filter("bucket <> 'other' AND embedding IS NOT NULL AND source IS NOT NULL AND id IS NOT NULL")
+    rows = items.select("id", "source", "bucket", "embedding", *carry).filter("bucket <> 'other' AND embedding IS NOT NULL AND source IS NOT NULL AND id IS NOT NULL")
     parts = rows.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("parts"))
     dealt = (
         rows.join(parts, "bucket")
@@ -42,18 +67,34 @@ def blocked_pairs(items: DataFrame, floor: float, tile: int = TILE) -> DataFrame
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
     )
-
-    def product(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        left, right = pdf[pdf["part"] == i], pdf[pdf["part"] == j]
-        sims = unit_rows(left["embedding"]) @ unit_rows(right["embedding"]).T
-        a, b = np.nonzero((sims >= floor - 1e-12) & (left["source"].to_numpy()[:, None] != right["source"].to_numpy()[None, :]))
-        ia, ib = left["id"].to_numpy()[a], right["id"].to_numpy()[b]
-        keep = ia < ib if i == j else ia != ib
-        return pd.DataFrame({"id_a": np.minimum(ia, ib)[keep], "id_b": np.maximum(ia, ib)[keep], "cosine": sims[a, b][keep], "bucket": key[0]})
-
-    schema = f"id_a long, id_b long, cosine double, bucket {items.schema['bucket'].dataType.simpleString()}"
-    return dealt.select("bucket", "i", "j", "id", "source", "part", "embedding").groupBy("bucket", "i", "j").applyInPandas(product, schema).filter(F.col("cosine") >= floor)
+    names = ["id_a", "id_b", "cosine", "bucket", *[f"{c}_{x}" for x in "ab" for c in carry]]
+
+    def product(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(list(batches)).combine_chunks()
+        bucket, i, j = key[0], key[1].as_py(), key[2].as_py()
+        part, ids = group["part"].to_numpy(), group["id"].to_numpy()
+        source = group["source"].combine_chunks().dictionary_encode().indices.to_numpy()
+        raw = vector_rows(group["embedding"])
+        unit = unit_rows(raw)
+        ours, theirs = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        right = unit[theirs]
+        for at in range(0, len(ours), ROWS):
+            mine = ours[at : at + ROWS]
+            a, b = np.nonzero(unit[mine] @ right.T >= floor - SLACK)
+            a, b = mine[a], theirs[b]
+            keep = (source[a] != source[b]) & (ids[a] < ids[b] if i == j else ids[a] != ids[b])
+            a, b = a[keep], b[keep]
+            cosine = cosines(raw, raw, a, b)
+            high = cosine >= floor
+            a, b, cosine = a[high], b[high], cosine[high]
+            a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
+            if len(a):
+                carried = [group[c].combine_chunks().take(pa.array(x)) for x in (a, b) for c in carry]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64()), pa.array(cosine), pa.repeat(bucket, len(a)), *carried], names)
+
+    kinds = [items.schema[c].dataType.simpleString() for c in carry] * 2
+    schema = ", ".join(f"`{n}` {kind}" for n, kind in zip(names, ["long", "long", "double", items.schema["bucket"].dataType.simpleString(), *kinds], strict=True))
+    return dealt.select("bucket", "i", "j", "id", "source", "part", "embedding", *carry).groupBy("bucket", "i", "j").applyInArrow(product, schema)
 
 
 def pair_count(items: DataFrame, floor: float) -> DataFrame:
@@ -61,10 +102,6 @@ def pair_count(items: DataFrame, floor: float) -> DataFrame:
     return blocked_pairs(items, floor).agg(F.count("*").alias("n"))
 
 
-#: Query rows in one product with a tile: some megabytes of doubles.
-ROWS = 500
-
-
 def best_of(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k largest similarities of each row with their ids, ties by id. Only what ties with the k-th or is above it is sorted."""
     if sims.shape[1] > k:
@@ -87,8 +124,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERIES) -
     blocks = max(1, math.ceil(asked.count() / block))
 
     def search(part: DataFrame) -> DataFrame:
-        found = part.toPandas()
-        ids, matrix = found["id"].to_numpy(), unit_rows(found["embedding"])
+        found = part.toArrow()
+        ids, matrix = found["id"].to_numpy(), unit_rows(vector_rows(found["embedding"]))
         shared = spark.sparkContext.broadcast((ids, matrix))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,10 +133,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERIES) -
             parts: list = [None] * math.ceil(len(query_ids) / ROWS)
             for batch in batches:
                 for at in range(0, batch.num_rows, TILE):
-                    piece = batch.slice(at, TILE).to_pandas()
-                    if not len(piece):
-                        continue
-                    tile, own = unit_rows(piece["embedding"]), piece["id"].to_numpy()
+                    piece = batch.slice(at, TILE)
+                    tile, own = unit_rows(vector_rows(piece["embedding"])), piece["id"].to_numpy()
                     for b in range(len(parts)):
                         sims = q[b * ROWS : (b + 1) * ROWS] @ tile.T
                         ids = np.broadcast_to(own, sims.shape)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import text as t
 from shelfmark.operators import evaluate, matching, providers, quoting, similarity, state
 from shelfmark.plans import queries as q
-from shelfmark.session import read_table, scratch_path
+from shelfmark.session import cut, read_table, scratch_path
 from shelfmark.sources import catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -411,7 +411,8 @@ def rediscovery_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {q._scored()} SELECT id_a, id_b, row_number() OVER (ORDER BY score DESC, id_a, id_b) AS n FROM s WHERE score > 0.27 AND score < 0.35")
 def arbitration_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    waiting = matching.arbitration_order(q.scored(spark, sf_dir).filter("decision = 'pending_llm'"))
+    pending = cut(q.scored(spark, sf_dir).filter("decision = 'pending_llm'").select("id_a", "id_b", "computed_score"))  # read for the bounds of ranges and for the rows
+    waiting = matching.arbitration_order(pending)
     return catalog.in_order(waiting.withColumn("down", -F.col("computed_score")), "down", "id_a", "id_b").select("id_a", "id_b", "n")
 
 

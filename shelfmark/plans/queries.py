@@ -104,8 +104,8 @@ s AS (SELECT *, greatest(0.0, least(1.0, cosine + CASE WHEN manufacturer_bonus T
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = items(spark, sf_dir).select("id", "name", "manufacturer", "uom", "pack_size")
-    return matching.score_pairs(matching.with_items(pairs(spark, sf_dir), rows), LIMITS)
+    rows, traits = matching.with_traits(items(spark, sf_dir))
+    return matching.score_traits(similarity.blocked_pairs(rows, FLOOR, carry=traits.columns), traits, LIMITS)
 
 
 @query(f"WITH {_scored()} SELECT id_a, id_b, {_R4.format('score')} AS computed_score, manufacturer_bonus, uom_conflict, attribute_conflict, {_DECIDE.format('score')} AS decision FROM s")
@@ -133,8 +133,7 @@ def brand_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_PAIRS} SELECT id_a, id_b, {_conflict()} AS attribute_conflict FROM p")
 def attribute_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = items(spark, sf_dir).select("id", "name")
-    return matching.with_items(pairs(spark, sf_dir), rows).select("id_a", "id_b", t.attribute_conflict(F.col("name_a"), F.col("name_b")).alias("attribute_conflict"))
+    return scored(spark, sf_dir).select("id_a", "id_b", "attribute_conflict")
 
 
 # Nearest neighbours

@@ -70,6 +70,36 @@ def test_tiles_give_all_pairs(spark, sf):
     assert pairs(2000) == pairs(7)
 
 
+def test_equal_vectors_tie(spark):
+    """Copies of a vector have one cosine with another, wherever they stand in a product; a lone row of a part is another product than a block."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 64)).astype(np.float32)
+    rows = [(k, str(k % 3), "b", base[k % 40].tolist()) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, source string, bucket string, embedding array<float>")
+    for tile in (7, 4000):
+        seen = {}
+        for r in similarity.blocked_pairs(df, 0.2, tile).collect():
+            seen.setdefault(tuple(sorted((r.id_a % 40, r.id_b % 40))), set()).add(r.cosine)
+        assert all(len(v) == 1 for v in seen.values()) and all(seen[k, k] == {1.0} for k in range(40))
+
+
+def test_traits_give_scores_of_pairs(spark):
+    """Flags from bits are those from texts, with more tokens than one word has bits; the pairs need no join."""
+    spaces = ["".join(" " if k >> b & 1 else "\t" for b in range(7)) for k in range(70)]
+    names = [None, "", "Nasco arm small latex", "NASCO xl Vinyl non-sterile", "x-small sterile pe", "nasco medium latex sterile", "Bound tree", "small large glove", *[f"bound{x}tree" for x in spaces]]
+    rows = [(k, "abc"[k % 3], "b", [1.0, k % 2 * 0.5], name, [None, "Nasco", "vata", "bound tree"][k % 4], ["pair", "Box", None, "each"][k % 4], [None, 0, 1, 10, 12][k % 5]) for k, name in enumerate(names)]
+    items = spark.createDataFrame(rows, "id long, source string, bucket string, embedding array<double>, name string, manufacturer string, uom string, pack_size int")
+    marked, traits = matching.with_traits(items)
+    assert len(traits.columns) == 2
+    limits = matching.Thresholds(bonus_floor=0.95)
+    columns = ["id_a", "id_b", "manufacturer_bonus", "uom_conflict", "attribute_conflict", "computed_score", "decision"]
+    carried = matching.score_traits(similarity.blocked_pairs(marked, 0.5, carry=traits.columns), traits, limits)
+    assert "Join" not in carried._jdf.queryExecution().analyzed().toString().split("FlatMapGroupsInArrow")[0]
+    joined = matching.score_pairs(matching.with_items(similarity.blocked_pairs(items, 0.5), items.select("id", "name", "manufacturer", "uom", "pack_size")), limits)
+    got, want = (sorted(map(tuple, d.select(columns).collect())) for d in (carried, joined))
+    assert got == want and all(any(r[k] for r in got) and not all(r[k] for r in got) for k in (2, 3, 4))
+
+
 def test_nearest_in_blocks(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id AS id", "embedding")
     asked = rows.filter("id % 50 = 0")
