@@ -113,6 +113,37 @@ def best_of(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(sims, order, 1), np.take_along_axis(ids, order, 1)
 
 
+class Best:
+    """The k largest cosines of each query of a block so far, ties by id; equal vectors tie wherever they stand.
+
+    A product with a tile only says which rows may be among them: those not below the k-th so far, or below the tile's own k-th.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int) -> None:
+        self.queries, self.unit, self.k = queries, unit_rows(queries), k
+        self.query, self.cosine, self.ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.least = np.full(len(queries), -np.inf)
+
+    def add(self, rows: np.ndarray, unit: np.ndarray, ids: np.ndarray) -> None:
+        sims = self.unit @ unit.T
+        least = self.least
+        if sims.shape[1] > self.k and np.isinf(least).any():
+            own, _ = best_of(np.where(np.isnan(sims), -np.inf, sims), np.broadcast_to(ids, sims.shape), self.k)
+            least = np.maximum(least, own[:, -1])
+        query, at = np.nonzero(sims >= (least - SLACK)[:, None])
+        if not len(query):
+            return
+        cosine = np.concatenate([self.cosine, cosines(self.queries, rows, query, at)])
+        query, ids = np.concatenate([self.query, query]), np.concatenate([self.ids, ids[at]])
+        order = np.lexsort((ids, -cosine, query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        keep = place < self.k
+        self.query, self.cosine, self.ids = query[keep], cosine[order][keep], ids[order][keep]
+        last = place[keep] == self.k - 1
+        self.least[self.query[last]] = self.cosine[last]
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERIES) -> DataFrame:
     """(query_id, id, cosine, rank): the k rows of largest cosine to each query, ties by id. Exact.
 
@@ -125,26 +156,20 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERIES) -
 
     def search(part: DataFrame) -> DataFrame:
         found = part.toArrow()
-        ids, matrix = found["id"].to_numpy(), unit_rows(vector_rows(found["embedding"]))
-        shared = spark.sparkContext.broadcast((ids, matrix))
+        shared = spark.sparkContext.broadcast((found["id"].to_numpy(), vector_rows(found["embedding"])))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             query_ids, q = shared.value
-            parts: list = [None] * math.ceil(len(query_ids) / ROWS)
+            parts = [Best(q[at : at + ROWS], k) for at in range(0, len(q), ROWS)]
             for batch in batches:
                 for at in range(0, batch.num_rows, TILE):
                     piece = batch.slice(at, TILE)
-                    tile, own = unit_rows(vector_rows(piece["embedding"])), piece["id"].to_numpy()
-                    for b in range(len(parts)):
-                        sims = q[b * ROWS : (b + 1) * ROWS] @ tile.T
-                        ids = np.broadcast_to(own, sims.shape)
-                        if parts[b] is not None:
-                            sims, ids = np.concatenate([parts[b][0], sims], axis=1), np.concatenate([parts[b][1], ids], axis=1)
-                        parts[b] = best_of(sims, ids, k)
-            for b, found in enumerate(parts):
-                if found is not None:
-                    asked_ids = np.repeat(query_ids[b * ROWS : (b + 1) * ROWS], found[0].shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(asked_ids), pa.array(found[1].ravel()), pa.array(found[0].ravel())], ["query_id", "id", "cosine"])
+                    tile, own = vector_rows(piece["embedding"]), piece["id"].to_numpy()
+                    unit = unit_rows(tile)
+                    for best in parts:
+                        best.add(tile, unit, own)
+            for b, best in enumerate(parts):
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[b * ROWS + best.query], pa.int64()), pa.array(best.ids, pa.int64()), pa.array(best.cosine)], ["query_id", "id", "cosine"])
 
         return rows.select("id", "embedding").filter("embedding IS NOT NULL").mapInArrow(run, "query_id long, id long, cosine double")
 

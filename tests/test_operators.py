@@ -1,6 +1,7 @@
 """Scoring, state, quoting, graph and HTML operators on literal rows."""
 
 import decimal
+import re
 
 import numpy as np
 import pytest
@@ -107,6 +108,34 @@ def test_nearest_in_blocks(spark, sf):
     assert found(1000) == found(3)
 
 
+def test_nearest_copies_tie(spark):
+    """A vector's copies are its nearest rows, each at 1 and by id, over tiles and partitions of any shape."""
+    base = np.random.default_rng(6).normal(size=(50, 64)).astype(np.float32)
+    rows = spark.createDataFrame([(k, base[k * 7 % 50].tolist()) for k in range(600)], "id long, embedding array<float>").repartition(5)
+    got = {}
+    for r in similarity.nearest(rows.filter("id % 10 = 3"), rows, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.cosine))
+    assert got == {k: [(n, 1.0) for n in range(k % 50, 200, 50)] for k in range(3, 600, 10)}
+
+
+def test_names_are_compared_once(spark):
+    """Against every request and quote in turn: names and fragments met again, wild signs, an escape, one request of two fragments, quotes given twice."""
+    rng = np.random.default_rng(7)
+    names = ["Lakeside EMS", "LAKESIDE ems north", "Bay_side 5% Lab", "Bay side 50 Lab", "a\\\\b", None, "Hill"]
+    quotes = [(int(rng.integers(0, 90)), names[rng.integers(0, len(names))], int(rng.integers(0, 6))) for _ in range(300)]
+    asked = [(k, ["side", "Bay_side", "5%l", "ems", "", "none", "hill"][k % 7]) for k in range(30)] + [(0, "hill")]
+    df = quoting.name_matches(spark.createDataFrame(asked, "request_id long, f string"), spark.createDataFrame(quotes, "quote_id long, customer_name string, quote_date int"), F.col("f"))
+    fits = lambda f, name: name is not None and re.search("".join({"%": ".*", "_": "."}.get(c, re.escape(c)) for c in f.lower()), name.lower()) is not None
+    want = []
+    for request in {r for r, _ in asked}:
+        found = sorted({(-d, q) for r, f in asked if r == request and f for q, name, d in quotes if fits(f, name)})[:3]
+        want += [(request, q, -d, rank + 1) for rank, (d, q) in enumerate(found)]
+    assert sorted(map(tuple, df.select("request_id", "quote_id", "quote_date", "rank").collect())) == sorted(want) and want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    joins = re.findall(r"Join Inner, (?:Contains|.*LIKE).*\n[^\n]*", plan)
+    assert len(joins) == 2 and all(re.search(r"Aggregate \[_name", j) for j in joins)
+
+
 @pytest.mark.parametrize("subtotal,percent,discount,freight,total", [("6120.40", 8, "489.63", "0.00", "5630.77"), ("3010.30", 5, "150.52", "0.00", "2859.78"), ("1720.10", 3, "51.60", "0.00", "1668.50"), ("1040.55", 3, "31.22", "0.00", "1009.33"), ("410.15", 0, "0.00", "18.50", "428.65"), ("500.00", 0, "0.00", "18.50", "518.50"), ("999.99", 0, "0.00", "0.00", "999.99"), ("2500.00", 5, "125.00", "0.00", "2375.00")])
 def test_quote_pricing(spark, subtotal, percent, discount, freight, total):
     r = quoting.price_quote(spark.createDataFrame([(decimal.Decimal(subtotal),)], "subtotal decimal(12,2)")).first()
